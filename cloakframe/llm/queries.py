@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .byte_bpe import encode_digests
+from .common import new_path, table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .sharding import assign_shards, fill_table
+from .warc import read_archives, write_archives
 
 #: op10: the shards of the corpus and the slots of their table.
 SHARDS, SLOTS = [f"shard-{k:03d}" for k in range(64)], 16381
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,8 +42,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_exact_dedup, op10_sharding)}
-
+    return {f.__name__: f for f in (op3_warc, op4_best_fit_packing, op5_byte_bpe, op8_exact_dedup, op10_sharding)}
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS INT) >> s) & 31), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM w
+"""
 
 OP8_SQL = r"""
 WITH t AS (
@@ -51,4 +80,4 @@ SELECT doc_id, source, n_chars, slot, CAST(of[slot + 1] AS INTEGER) AS shard FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_sharding": op10_sql()}
+    return {"op3_warc": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op10_sharding": op10_sql()}
