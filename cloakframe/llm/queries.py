@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_digests
 from .common import new_path, table
 from .exact_dedup import exact_dedup
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .sharding import assign_shards, fill_table
+from .substring_dedup import remove_repeats
 from .warc import read_archives, write_archives
 
 #: op10: the shards of the corpus and the slots of their table.
 SHARDS, SLOTS = [f"shard-{k:03d}" for k in range(64)], 16381
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -32,6 +40,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_best_fit_packing, op5_byte_bpe, op8_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_best_fit_packing, op5_byte_bpe, op6_ngram_join, op8_exact_dedup, op10_sharding)}
 
 
 OP3_SQL = """
