@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_digests
 from .common import new_path, table
 from .exact_dedup import exact_dedup
+from .lm_score import score_documents
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .sharding import assign_shards, fill_table
 from .substring_dedup import remove_repeats
+from .topk_search import top_k
 from .warc import read_archives, write_archives
 
 #: op10: the shards of the corpus and the slots of their table.
@@ -26,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -48,13 +54,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return assign_shards(docs, "doc_id", SHARDS, SLOTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_best_fit_packing, op5_byte_bpe, op6_ngram_join, op8_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_warc, op4_best_fit_packing, op5_byte_bpe, op6_ngram_join, op8_exact_dedup, op9_topk_search, op10_sharding)}
 
 
 OP3_SQL = """
@@ -81,6 +91,22 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 """
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_sql() -> str:
     """The table is data here; tests fill it by brute force."""
     owners = ",".join(map(str, fill_table(SHARDS, SLOTS)))
@@ -92,4 +118,4 @@ SELECT doc_id, source, n_chars, slot, CAST(of[slot + 1] AS INTEGER) AS shard FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op10_sharding": op10_sql()}
+    return {"op3_warc": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_topk_search": OP9_SQL, "op10_sharding": op10_sql()}
