@@ -54,21 +54,36 @@ class WordIds(dict):
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ranks.setdefault(raw(a) + raw(b), len(ranks))
-        self.ids = np.full(len(ranks), -1, np.int64)
+        self.ids = [b""] * len(ranks)
         for token, r in ranks.items():
-            self.ids[r] = id_of.get(token, -1)
+            if token in id_of:
+                self.ids[r] = np.array([id_of[token]], "<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
         self.core = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         #: Only where both ways are known to agree: letters below the general punctuation block.
         self.plain = regex.compile(r"[!-ɏ]*")
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = b"".join([self.ids[r] for r in self.core.encode_single_piece(piece.encode() + _END)])
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            if len(piece) <= CACHE_BYTES:
+                self.pieces[piece] = found
+        return found
+
     def _ids(self, word: str) -> bytes:
-        if "<|" in word or not self.plain.fullmatch(word):
+        if "<|" in word or not (word.isprintable() if word.isascii() else self.plain.fullmatch(word)):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        ranks: list[int] = []
-        for piece in self.pattern.findall(unicodedata.normalize("NFC", word).lower()):
-            ranks += self.core.encode_single_piece(piece.encode() + _END)
-        return self.ids[ranks].astype("<u4").tobytes()
+        low = unicodedata.normalize("NFC", word).lower()
+        # Most words are letters, with or without a mark behind them; isalpha() is the pattern's letter class.
+        if low.isalpha():
+            return self._piece(low)
+        if low[:-1].isalpha() and not low[-1].isnumeric() and not low[-1].isspace():
+            return self._piece(low[:-1]) + self._piece(low[-1])
+        return b"".join(map(self._piece, self.pattern.findall(low)))
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._ids(word.decode())
