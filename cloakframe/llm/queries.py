@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .sharding import assign_shards, fill_table
 from .substring_dedup import remove_repeats
 from .topk_search import top_k
+from .toxicity import toxicity
 from .warc import read_archives, write_archives
 
 #: op10: the shards of the corpus and the slots of their table.
@@ -50,6 +51,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_warc, op4_best_fit_packing, op5_byte_bpe, op6_ngram_join, op8_exact_dedup, op9_topk_search, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_warc, op4_best_fit_packing, op5_byte_bpe, op6_ngram_join, op7_toxicity, op8_exact_dedup, op9_topk_search, op10_sharding)}
 
 
 OP3_SQL = """
