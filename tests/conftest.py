@@ -3,10 +3,9 @@ import os
 
 import duckdb
 import pytest
+from compare import SF
 from pyspark.sql import SparkSession
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
