@@ -1,4 +1,7 @@
-"""Connected components over links, by alternating large and small stars.
+"""Connected components over links, by local contraction and alternating large and small stars.
+
+Every task first contracts the links of its own partition to stars, which
+leaves few rounds to do across partitions.
 
 Every round writes its links to the shared folder, so lineage stays short and
 a lost executor costs one round.  A hub's links are never gathered in a task:
@@ -8,12 +11,38 @@ joined back, so that Spark can split the hub's partition of the join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars around the smallest node of each component they make."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["u", "v"])
+
+
 def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
     """links (u, v) -> (u, v) with u > v."""
     if large:
@@ -35,12 +64,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     Loops, repeated and reversed links are allowed; without links the result is empty.
     """
     a, b = links.columns
-    now = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
+    now = materialize(links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").mapInArrow(_contract, "u long, v long"), "links")
     mark = None
     while True:
-        now = materialize(_star(_star(now, True, "large"), False, "small"), "links")
+        now = materialize(_star(_star(now.mapInArrow(_contract, "u long, v long"), True, "large"), False, "small"), "links")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(row):
             break
         mark = tuple(row)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merge_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after ``links`` (a, b) have been added: only what the links touch is worked on anew."""
+
+    def of(k: str) -> DataFrame:
+        return known.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
+
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    new = materialize(connected_components(between), "merged")
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(new.join(known.select("node"), "node", "left_anti"))

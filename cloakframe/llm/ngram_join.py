@@ -9,8 +9,8 @@ form a class, and classes are joined:
 2.  A second pass emits the prefix of each set.  Sets at least as similar as
     asked share an n-gram of their prefixes.
 3.  Sets that share one are candidates if lengths and positions still allow
-    the overlap.  In a long list of sets only neighbours and block heads are
-    paired at first; such lists are kept.
+    the overlap.  In a long list each set is paired at first with those at
+    distances 1, 2, 4 and so on only; such lists are kept.
 4.  Candidates are distinct pairs.  The suffix filter bounds the overlap by a
     partition of both sets; pairs that pass it are verified once, exactly.
 5.  Links make components.  Kept lists whose members are already connected
@@ -25,6 +25,7 @@ are salted by class, so no task gathers an unbounded list.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_view, materialize, mix, partitions, text_bytes, word_hashes, word_spans
-from .components import connected_components
+from .components import connected_components, merge_components
 
 #: Cells of the count table (4 bytes each; its size does not depend on the data) as a power of two.
-COUNT_BITS = 20
+COUNT_BITS = 22
 #: Up to so many sets, a list is paired in full at once.
 SHORT_LIST = 24
 #: An n-gram counted more often has its list salted into parts of about this size.
 SALT_ROWS = 16_384
+#: Sets in a part of a list that is compared in full with another part.
+PART_ROWS = 512
 #: Cells of the suffix filter's partition.
 SUFFIX_CELLS = 256
 _SLICES = 16
@@ -110,13 +113,13 @@ def _profile(width: int):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(hi), pa.array(lo), none, pa.nulls(len(none), pa.binary())], ["doc_id", "n", "hi", "lo", "slice", "counts"])
         for k, part in enumerate(np.split(counts, _SLICES)) if some else ():
             null = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "n", "hi", "lo", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["doc_id", "n", "hi", "lo", "slice", "counts"])
 
     return run
 
 
 def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for c in group.column("counts").chunks for x in c)
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for c in group.column("counts").chunks for x in c)
     return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
@@ -175,7 +178,7 @@ def allowed(n1, p1, n2, p2, percent: int):
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (most >= least)
 
 
-_FOUND = "a long, b long, token long, cls long, n long, pos long"
+_FOUND = "a long, b long, token long, cls long, n long, pos long, salted long"
 
 
 def _candidates(percent: int, counts_var):
@@ -214,20 +217,20 @@ def _candidates(percent: int, counts_var):
         for d in range(1, min(SHORT_LIST, int(size.max(initial=1)))):
             i = np.flatnonzero((t[:-d] == t[d:]) & short[:-d])
             pair(i, i + d)
+        # A long list: partners at distances 1, 2, 4 and so on, so every set meets a few dozen others.
         inside = at - head
-        block = head + inside // SHORT_LIST * SHORT_LIST
-        long = np.flatnonzero(~short & (inside > 0))
-        pair(long, long - 1)
-        pair(long, block[long])
-        heads = long[block[long] == long]
-        pair(heads, heads - SHORT_LIST)
-        pair(heads, head[heads])
+        d = 1
+        while d < int(size.max(initial=0)):
+            i = np.flatnonzero(~short & (inside + d < length))
+            pair(i, i + d)
+            d *= 2
         found = np.unique(np.concatenate(pairs), axis=0)
         found = found[found[:, 0] != found[:, 1]]
-        kept = ~short | (_salts(counts[t & np.uint64(len(counts) - 1)]) > 1)
+        salted = _salts(counts[t & np.uint64(len(counts) - 1)]) > 1
+        kept = ~short | salted
         no_pair, no_list = pa.nulls(int(kept.sum()), pa.int64()), pa.nulls(len(found), pa.int64())
-        columns = [(found[:, 0], no_pair), (found[:, 1], no_pair), (no_list, t[kept].view(np.int64)), (no_list, c[kept]), (no_list, n[kept]), (no_list, p[kept])]
-        return pa.table([pa.chunked_array([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], names=["a", "b", "token", "cls", "n", "pos"])
+        columns = [(found[:, 0], no_pair), (found[:, 1], no_pair), (no_list, t[kept].view(np.int64)), (no_list, c[kept]), (no_list, n[kept]), (no_list, p[kept]), (no_list, salted[kept].astype(np.int64))]
+        return pa.table([pa.chunked_array([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], names=["a", "b", "token", "cls", "n", "pos", "salted"])
 
     return run
 
@@ -285,6 +288,40 @@ def _links(pairs: DataFrame, contents: DataFrame, percent: int, name: str) -> Da
     return materialize(near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
 
 
+def _meet(percent: int):
+    """Pairs of one part of a list with another (or with itself) in different components that all filters allow."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        part, rep, n, p, comp = (group.column(c).to_numpy() for c in ("part", "rep", "n", "pos", "comp"))
+        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint8).reshape(-1, SUFFIX_CELLS)
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        found = [np.empty((0, 2), np.int64)]
+        for i in left:
+            j = right[right > i] if lo == hi else right
+            j = j[comp[j] != comp[i]]
+            j = j[allowed(n[i], p[i], n[j], p[j], percent)]
+            if len(j):
+                x, y = cells[i], cells[j]
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                full = ((x == 255) & (y == 255)).any(1)
+                j = j[full | (most >= -(-percent * (n[i] + n[j]) // (100 + percent)))]
+                found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _rest_pairs(lists: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each list (token, rep, n, pos, comp, members), what ``_meet`` finds between all its parts of bounded size."""
+    parts = F.floor((F.col("members") - 1) / PART_ROWS).cast("int") + 1
+    rows = lists.join(contents.select("rep", "cells"), "rep").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("token", "rep", "n", "pos", "comp", "cells", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return rows.groupBy("token", "lo", "hi").applyInArrow(_meet(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -313,34 +350,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, id_co
         return pairs.join(a, "a").join(b, "b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
     pairs = materialize(named(found.where("a is not null").select("a", "b").distinct()), "pairs")
-    kept = found.where("token is not null").join(rep_of.withColumnRenamed("lo", "cls"), "cls").select("token", "rep", "n", "pos").distinct()
+    kept = found.where("token is not null").join(rep_of.withColumnRenamed("lo", "cls"), "cls").select("token", "rep", "n", "pos", "salted").distinct()
     kept = materialize(kept, "kept")
     wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(kept.select(F.col("rep").alias("doc_id"))).distinct(), "wanted")
     contents = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_contents(width), "rep long, size long, cells binary, grams binary"), "contents")
 
     links = _links(pairs, contents, percent, "first")
     labels = materialize(connected_components(links), "labels")
-    for step in ("chain", "rest"):
-        lists = materialize(kept.join(labels, kept["rep"] == labels["node"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "lists")
-        open_tokens = materialize(lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "open")
+    for step in ("rest",) if kept.where("salted = 1").isEmpty() else ("chain", "rest"):
+        lists = materialize(kept.join(labels, kept["rep"] == labels["node"], "left").select("token", "rep", "n", "pos", "salted", F.coalesce("component", "rep").alias("comp")), "lists")
+        open_tokens = materialize(lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("token", "members"), "open")
         lists = materialize(lists.join(open_tokens, "token"), "open-lists")
         if step == "chain":
-            # One set of each component in a list meets one of the list's smallest component.
-            heads = lists.groupBy("token", "comp").agg(F.min("rep").alias("rep"))
+            # The parts of a salted list have not met: one set of each component meets one of the list's smallest component.
+            heads = lists.where("salted = 1").groupBy("token", "comp").agg(F.min("rep").alias("rep"))
             least = materialize(heads.groupBy("token").agg(F.min("rep").alias("a")), "least")
             more = heads.join(least, "token").where("a < rep").select("a", F.col("rep").alias("b"))
         else:
-            x, y = lists.alias("x"), lists.alias("y")
-            n1, n2, p1, p2 = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
-            fits = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * (F.least(p1, p2) + F.least(n1 - p1, n2 - p2)) >= percent * (n1 + n2))
-            more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits)
-            more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+            more = _rest_pairs(lists, contents, percent)
         more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), f"{step}-pairs")
         if more.isEmpty():
             continue
-        links = links.unionByName(_links(more, contents, percent, step))
         pairs = pairs.unionByName(more)
-        labels = materialize(connected_components(links), "labels")
+        labels = materialize(merge_components(labels, _links(more, contents, percent, step)), "labels")
     named_classes = materialize(classes.join(labels, classes["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")), "components")
     out = keys.where("n > 0").join(named_classes, ["hi", "lo"]).select("doc_id", "n", "component")
     out = out.unionByName(keys.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
