@@ -291,3 +291,69 @@ def lorenz(df: DataFrame, key: str, points: int = 10) -> DataFrame:
 
 def collision_free_bits(n: int, risk: float = 1e-6) -> int:
     return math.ceil(math.log2(max(2, n) ** 2 / (2 * risk)))
+
+
+# ---- validation rules
+
+#: name -> column of a test, to be used with ``rule_checks``.
+RULES = {
+    "not_null": lambda f: F.col(f).isNotNull(),
+    "not_empty": lambda f: F.trim(F.col(f)) != "",
+    "positive": lambda f: F.col(f) > 0,
+    "not_negative": lambda f: F.col(f) >= 0,
+    "integer": lambda f: F.col(f) == F.floor(F.col(f)),
+    "in_range": lambda f, a, b: F.col(f).between(a, b),
+    "in_set": lambda f, values: F.col(f).isin(list(values)),
+    "not_in_set": lambda f, values: ~F.col(f).isin(list(values)),
+    "matches": lambda f, pattern: F.col(f).rlike(pattern),
+    "length": lambda f, a, b: F.length(f).between(a, b),
+    "email": lambda f: F.col(f).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
+    "number": lambda f: F.col(f).try_cast("double").isNotNull(),
+    "date": lambda f, pattern: F.try_to_timestamp(F.col(f), F.lit(pattern)).isNotNull(),
+    "not_future": lambda f, now: F.col(f) <= F.lit(now).cast("timestamp"),
+    "upper_case": lambda f: F.col(f) == F.upper(F.col(f)),
+    "fields_ordered": lambda f, other: F.col(f) <= F.col(other),
+    "expression": lambda f, sql: F.expr(sql),
+}
+
+
+def unique_violations(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row: groups of the fields that occur more than once, and their rows."""
+    g = df.groupBy(*fields).agg(F.count("*").alias("n")).where("n > 1")
+    return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def reference_violations(df: DataFrame, field: str, other: DataFrame, other_field: str) -> DataFrame:
+    """One row: rows whose non-null value the other table lacks."""
+    keys = other.select(F.col(other_field).alias(field)).distinct()
+    return df.where(F.col(field).isNotNull()).join(keys, field, "left_anti").agg(F.count("*").alias("missing"))
+
+
+def l_diversity_loss(a: DataFrame, b: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
+    """One row: mean squared difference of group means before and after, capped at 100."""
+    x = a.groupBy(*keys).agg(F.avg(field).alias("ma"))
+    y = b.groupBy(*keys).agg(F.avg(field).alias("mb"))
+    return x.join(y, list(keys)).agg(F.round(F.least(F.lit(100.0), F.avg((F.col("ma") - F.col("mb")) * (F.col("ma") - F.col("mb")))), 6).alias("loss"))
+
+
+def distribution_fidelity(a: DataFrame, b: DataFrame, field: str) -> DataFrame:
+    """One row: 0.6 (1 - KS) + 0.4 of how near the quartiles are, relative to the range before."""
+    points = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
+    q = a.agg(F.percentile(field, points).alias("qa"), (F.max(field) - F.min(field)).cast("double").alias("w")).crossJoin(b.agg(F.percentile(field, points).alias("qb")))
+    gap = sum((F.abs(F.col("qa")[i] - F.col("qb")[i]) for i in range(3)), F.lit(0.0)) / 3
+    near = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(gap, F.col("w")), F.lit(0.0)))
+    return ks(a, b, field).crossJoin(q).select(F.round(0.6 * (1 - F.col("statistic")) + 0.4 * near, 6).alias("fidelity"))
+
+
+def composite(scores: dict[str, tuple[float, float]]) -> float:
+    """Weighted mean of name -> (score, weight)."""
+    total = sum(w for _, w in scores.values())
+    return sum(s * w for s, w in scores.values()) / total if total else 0.0
+
+
+def risk_bands(df: DataFrame, keys: Sequence[str], bounds: Sequence[int] = (2, 5, 10, 50)) -> DataFrame:
+    """(band, groups, records): groups by the first bound above their k."""
+    band = F.lit(f">={bounds[-1]}")
+    for b in reversed(list(bounds)):
+        band = F.when(F.col("k") < b, f"<{b}").otherwise(band)
+    return group_sizes(df, keys).groupBy(band.alias("band")).agg(F.count("*").alias("groups"), F.sum("k").alias("records"))

@@ -150,3 +150,18 @@ def t_closeness_probability_values(df: DataFrame, keys: Sequence[str], sensitive
 def t_suppress(df: DataFrame, keys: Sequence[str], sensitive: str, t: float) -> DataFrame:
     """Rows of groups whose ordered distance is at most ``t``."""
     return df.join(t_closeness_ordered_emd(df, keys, sensitive).where(F.col("t") <= t).select(*keys), list(keys), "left_semi").select(df.columns)
+
+
+def k_compare(before: DataFrame, after: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
+    """(side, ...): ``k_evaluate`` of both tables."""
+    return k_evaluate(before, keys, k).withColumn("side", F.lit("before")).unionByName(k_evaluate(after, keys, k).withColumn("side", F.lit("after")))
+
+
+def group_information_loss(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: distinct values before and after, and the share lost."""
+    def side(df: DataFrame, s: str) -> DataFrame:
+        cells = [F.struct(F.lit(f).alias("field"), F.count_distinct(F.col(f)).alias(s)).alias(f"__{f}") for f in fields]
+        return df.agg(*cells).select(F.explode(F.array(*[F.col(f"__{f}") for f in fields])).alias("x")).select("x.*")
+
+    both = side(before, "distinct_before").join(side(after, "distinct_after"), "field")
+    return both.withColumn("lost", F.round(1 - F.try_divide(F.col("distinct_after"), F.col("distinct_before")), 6))

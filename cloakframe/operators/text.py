@@ -116,3 +116,63 @@ def mtld(texts: pd.Series) -> pd.Series:
         return len(w) / factors if factors else float(len(w))
 
     return texts.map(lambda t: (one_way(t.split()) + one_way(t.split()[::-1])) / 2 if t and t.split() else 0.0)
+
+
+def collocations(df: DataFrame, field: str, least: int = 5) -> DataFrame:
+    """(a, b, n, pmi): word pairs side by side, with their pointwise mutual information in bits."""
+    w = df.select(words(F.col(field)).alias("w"))
+    single = w.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    total = single.agg(F.sum("c").cast("double").alias("t"))
+    pairs = w.where(F.size("w") >= 2).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    n = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    both = n.join(single.toDF("a", "ca"), "a").join(single.toDF("b", "cb"), "b").crossJoin(F.broadcast(total))
+    return both.select("a", "b", "n", F.round(F.log2(F.col("n") * F.col("t") / (F.col("ca") * F.col("cb"))), 6).alias("pmi"))
+
+
+# What entities look like, by kind.
+ENTITY_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    "url": r"https?://[A-Za-z0-9./?=&_%#\-]+",
+    "amount": r"[$€£][0-9]+(?:[.,][0-9]+)*",
+    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+}
+
+
+def entities(df: DataFrame, id_field: str, field: str, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(id, kind, value) of everything in the text that a pattern matches, in one pass."""
+    found = [F.transform(F.regexp_extract_all(F.col(field), F.lit(p), F.lit(0)), _kind(k)) for k, p in (patterns or ENTITY_PATTERNS).items()]
+    return df.select(id_field, F.explode(F.concat(*found)).alias("e")).select(id_field, "e.kind", "e.value")
+
+
+def _kind(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
+def leader_clusters(df: DataFrame, field: str, threshold: float = 0.7) -> DataFrame:
+    """(value, leader): each distinct value joins the first leader, in the order of values, whose words are similar enough, else leads.
+
+    Only values that share a first word are compared, so a block, not the
+    table, meets in one task.
+    """
+    values = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("value")).distinct()
+    blocks = values.withColumn("block", F.coalesce(F.try_element_at(words(F.col("value")), F.lit(1)), F.lit("")))
+
+    def lead(group: pd.DataFrame) -> pd.DataFrame:
+        leaders: list[tuple[str, set[str]]] = []
+        out = []
+        for v in sorted(group["value"]):
+            w = set(v.lower().split())
+            first = next((n for n, x in leaders if len(w & x) >= threshold * max(1, len(w | x))), None)
+            if first is None:
+                leaders.append((v, w))
+            out.append((v, first or v))
+        return pd.DataFrame(out, columns=["value", "leader"])
+
+    return blocks.groupBy("block").applyInPandas(lead, "value string, leader string")
+
+
+def closest_match(df: DataFrame, field: str, options: Sequence[str], threshold: float = 0.0, output: str = "closest") -> DataFrame:
+    """The most similar of a short list of options by edit distance (the first on ties), null below the threshold."""
+    scored = F.array(*[F.struct((-similarity(F.lower(F.col(field)), F.lit(o.lower()))).alias("s"), F.lit(i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(options)])
+    best = F.array_min(scored)
+    return df.withColumn(output, F.when(-best["s"] >= threshold, best["o"]))

@@ -788,3 +788,138 @@ def dict_match(t):
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS k FROM events GROUP BY ALL")
 def windowed_k(t):
     return windowed_group_sizes(t("events"), "ts", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- more of the inventory
+
+
+@query("WITH k AS (SELECT c_custkey, c_name, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS k FROM customer) SELECT c_custkey, CASE WHEN k < 2 THEN NULL WHEN k < 12 THEN '*****' ELSE c_name END AS c_name FROM k")
+def adaptive_mask(t):
+    return cond.adaptive(models.enrich_k(t("customer"), CQI, "k"), "k", "c_name", ((2, "suppress"), (12, "full_mask"))).select("c_custkey", "c_name")
+
+
+@query("WITH g AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT p_type, p_brand AS mode, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS r, sum(n) OVER (PARTITION BY p_type) AS rows FROM g), w AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 1) SELECT p_partkey, CASE WHEN p_size < 10 THEN CASE WHEN rows >= 5 THEN mode ELSE (SELECT p_brand FROM w) END ELSE p_brand END AS p_brand FROM part JOIN m USING (p_type) WHERE r = 1")
+def supp_cell_group_mode(t):
+    return suppress.suppress_cells(t("part"), "p_brand", F.col("p_size") < 10, "group_mode", group="p_type").select("p_partkey", "p_brand")
+
+
+@query("SELECT o_orderkey, 'range' AS suppression_reason FROM orders WHERE o_totalprice BETWEEN 50000 AND 1000000")
+def supp_record_removed(t):
+    return suppress.suppressed_records(t("orders"), suppress.record_mask("o_totalprice", "range", [50000, 1000000]), "range").select("o_orderkey", "suppression_reason")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN d < 6 THEN 'MASKED' ELSE CAST(qty_bin AS VARCHAR) END AS qty_bin FROM {_LINES} JOIN (SELECT l_returnflag, l_linestatus, ship_year, count(DISTINCT qty_bin) AS d FROM {_LINES} GROUP BY ALL) USING (l_returnflag, l_linestatus, ship_year)")
+def ldiv_mask(t):
+    return models.l_mask(lines(t), QI, "qty_bin", 6).select("l_orderkey", "l_linenumber", "qty_bin")
+
+
+@query(_GRID + """, y AS (SELECT *, abs(sum(n) OVER r / sum(n) OVER w - sum(an) OVER r / sum(an) OVER w) AS gap FROM x WINDOW r AS (PARTITION BY l_returnflag, l_linestatus, ship_year ORDER BY qty_bin), w AS (PARTITION BY l_returnflag, l_linestatus, ship_year)),
+g2 AS (SELECT l_returnflag, l_linestatus, ship_year FROM y GROUP BY 1, 2, 3 HAVING round(sum(gap), 6) <= 0.05) SELECT count(*) AS rows FROM """ + _LINES + " SEMI JOIN g2 USING (l_returnflag, l_linestatus, ship_year)")
+def tclose_suppress(t):
+    return models.t_suppress(lines(t), QI, "qty_bin", 0.05).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT 'p_type' AS field, count(DISTINCT p_type) AS distinct_before, count(DISTINCT split_part(p_type, ' ', 1)) AS distinct_after, round(1 - count(DISTINCT split_part(p_type, ' ', 1)) / count(DISTINCT p_type), 6) AS lost FROM part")
+def group_information_loss(t):
+    return models.group_information_loss(t("part"), t("part").withColumn("p_type", F.split("p_type", " ")[0]), ["p_type"])
+
+
+@query("SELECT round(count(*) FILTER (contains(m, '*')) / count(*), 6) AS masked FROM (SELECT CASE WHEN p_size < 25 THEN repeat('*', length(p_name)) ELSE p_name END AS m FROM part)")
+def masking_ratio(t):
+    return metrics.masking_ratio(t("part").withColumn("m", F.when(F.col("p_size") < 25, mask.stars(F.length("p_name"))).otherwise(F.col("p_name"))), "m")
+
+
+@query("SELECT round(least(1, count(*) / sum(k)), 6) AS risk, min(k) AS min_group FROM (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment)")
+def simple_disclosure_risk(t):
+    return metrics.simple_disclosure_risk(t("customer"), CQI)
+
+
+@query("WITH g AS (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT CASE WHEN k < 2 THEN '<2' WHEN k < 5 THEN '<5' WHEN k < 10 THEN '<10' WHEN k < 50 THEN '<50' ELSE '>=50' END AS band, count(*) AS groups, sum(k)::BIGINT AS records FROM g GROUP BY 1")
+def risk_bands(t):
+    return metrics.risk_bands(t("customer"), CQI)
+
+
+@query("""WITH f AS (SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1), g AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1), p AS (SELECT 1.0::DOUBLE AS full_, count(*) / sum(n) AS many, 1 - max(n) / sum(n) AS even FROM f UNION ALL SELECT 1.0, count(*) / sum(n), 1 - max(n) / sum(n) FROM g)
+SELECT round(avg(full_), 6) AS completeness, round(avg(many), 6) AS diversity, round(avg(even), 6) AS balance, round(0.25 * (avg(full_) + avg(many) + avg(even) + 0.2), 6) AS utility FROM p""")
+def predicted_utility(t):
+    return metrics.predicted_utility(t("part"), ["p_brand", "p_type"])
+
+
+@query("SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1)")
+def unique_violations(t):
+    return metrics.unique_violations(t("orders"), ["o_custkey", "o_orderpriority"])
+
+
+@query("SELECT count(*) AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def reference_violations(t):
+    return metrics.reference_violations(t("orders"), "o_custkey", t("customer").where("c_acctbal > 0"), "c_custkey")
+
+
+@query(f"WITH {_AB}, a2 AS (SELECT l_returnflag AS g, avg(l_quantity) AS m FROM lineitem GROUP BY 1), b2 AS (SELECT l_returnflag AS g, avg(round_even(l_quantity / 10, 0) * 10) AS m FROM lineitem GROUP BY 1) SELECT round(least(100, avg((a2.m - b2.m) ** 2)), 6) AS loss FROM a2 JOIN b2 USING (g)")
+def ldiversity_loss(t):
+    a = t("lineitem").select("l_returnflag", "l_quantity")
+    return metrics.l_diversity_loss(a, generalize.round_numbers(a, "l_quantity", -1), ["l_returnflag"], "l_quantity")
+
+
+@query(_CDF + """, d AS (SELECT abs(sum(p) OVER (ORDER BY x) - sum(q) OVER (ORDER BY x)) AS d FROM c), s AS (SELECT round(max(d), 6) AS s FROM d), q AS (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS qa, max(x) - min(x) AS w FROM a), r AS (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS qb FROM b)
+SELECT round(0.6 * (1 - s) + 0.4 * greatest(0, 1 - (abs(qa[1] - qb[1]) + abs(qa[2] - qb[2]) + abs(qa[3] - qb[3])) / 3 / w), 6) AS fidelity FROM s, q, r""")
+def distribution_fidelity(t):
+    a, b = sides(t)
+    return metrics.distribution_fidelity(a, b, "x")
+
+
+@query("SELECT CASE WHEN year(o_orderdate) < 1940 THEN 'too_old' WHEN o_orderdate > TIMESTAMP '1998-01-01' THEN 'future' WHEN year(o_orderdate) > 1996 THEN 'too_young' ELSE 'valid' END AS kind, count(*) AS n FROM orders GROUP BY 1")
+def prof_date_anomalies(t):
+    return profile.date_anomalies(t("orders"), "o_orderdate", youngest=1996, today="1998-01-01")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 <> 0) AS valid, count(*) FILTER (c_custkey % 3 = 1) AS with_country FROM customer")
+def prof_phone(t):
+    kind = F.col("c_custkey") % 3
+    number = F.lpad(F.col("c_custkey").cast("string"), 9, "1")
+    return profile.phone_profile(t("customer").select(F.when(kind == 1, F.concat(F.lit("+49 "), number)).when(kind == 2, number).otherwise("none").alias("p")), "p")
+
+
+_PAIRS = f"w AS (SELECT {_WORDS} AS w FROM documents), s AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM w) GROUP BY 1), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p FROM w), n AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 20)"
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, n, round(log2(n * (SELECT sum(c) FROM s)::DOUBLE / (sa.c * sb.c)), 6) AS pmi FROM n JOIN s sa ON sa.x = a JOIN s sb ON sb.x = b")
+def text_collocations(t):
+    return text.collocations(t("documents"), "text", 20)
+
+
+_ENT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in text.ENTITY_PATTERNS.items())
+
+
+@query(_ENT)
+def text_entities(t):
+    return text.entities(t("documents"), "doc_id", "text")
+
+
+@query()
+def text_leader_clusters(t):
+    return text.leader_clusters(t("part"), "p_type")
+
+
+@query()
+def text_minhash(t):
+    return t("documents").select("doc_id", text.minhash(F.col("text"), 8).alias("signature"))
+
+
+@query()
+def typo_candidates(t):
+    rows = t("nation").select(F.col("n_name").alias("v")).withColumn("v", F.explode(F.array_repeat("v", 12)))
+    wrong = t("nation").select(F.concat(F.col("n_name"), F.lit("x")).alias("v"))
+    return profile.typo_candidates(rows.unionByName(wrong), "v")
+
+
+@query()
+def model_membership(t):
+    p = t("part").select("p_partkey", "p_size", "p_retailprice")
+    return attacks.model_membership(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), p, "p_partkey", ["p_size", "p_retailprice"])
+
+
+@query()
+def noise_impact(t):
+    out = noise.uniform_numeric_noise(t("events"), "value", 1.0, output="noisy")
+    return noise.noise_impact(out, "value", "noisy")

@@ -78,6 +78,23 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def read_oriented_json(spark: SparkSession, path: str, orient: str, schema: str) -> DataFrame:
+    """JSON of one object: ``columns`` is {column: {row: value}}, ``index`` is {row: {column: value}}; others are read as they are.
+
+    A file is one value here and is parsed by one task, as its form asks.
+    """
+    fields = spark.createDataFrame([], schema).schema
+    if orient not in ("columns", "index"):
+        return read(spark, path, "json", schema=schema)
+    whole = spark.read.text(path, wholetext=True)
+    if orient == "index":
+        rows = whole.select(F.explode(F.from_json("value", f"map<string, struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in fields)}>>")))
+        return rows.select("value.*")
+    parts = whole.select(F.from_json("value", ", ".join(f"`{f.name}` map<string, {f.dataType.simpleString()}>" for f in fields)).alias("o"))
+    keys = parts.select("o", F.explode(F.map_keys(F.col("o")[fields[0].name])).alias("k"))
+    return keys.select(*[F.try_element_at(F.col("o")[f.name], F.col("k")).alias(f.name) for f in fields])
+
+
 def checksum(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:
