@@ -67,7 +67,9 @@ def assign_shards(df: DataFrame, key_col: str, shards: list[str], slots: int = 1
     empty text is, an empty table stays empty.  Columns of ``df`` named like
     the two new ones are replaced by them.
     """
-    rows = df.drop(*[c for c in (shard_col, slot_col) if c != key_col]).withColumn("__slot", key_slot(F.col(key_col), slots))
+    kept = [c for c in df.columns if c not in (shard_col, slot_col) or c == key_col]
     lookup = lookup_table(df.sparkSession, shards, slots).toDF("__slot", "__shard")
+    # Slots are joined beside the rows' own columns, whatever those are named.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), key_slot(F.col(f"`{key_col}`"), slots).alias("__slot"))
     out = rows.join(F.broadcast(lookup), "__slot")
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__slot"], F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+    return out.select(*[F.col(f"__row.`{c}`") for c in kept], F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))

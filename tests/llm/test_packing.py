@@ -21,13 +21,35 @@ def test_bins():
         assert -(-sum(sizes) // room) <= len(bins) <= len(best_fit(sizes, room))
 
 
-def test_better_than_best_fit():
-    sizes = [6, 5, 4, 4, 3, 2, 2, 2, 2]
-    assert len(complete_bins([s for s in (6, 6, 5, 5, 5, 3, 3, 3, 2, 2)], 10)) == 4
-    assert len(complete_bins(sizes, 10)) == 3
-    # Best fit opens a bin more here.
-    hard = [4, 4, 3, 3, 3, 3, 2, 2] * 3
-    assert len(complete_bins(hard, 12)) == 6
+def fewest(sizes, room):
+    """By trying every bin for every piece."""
+    best = len(sizes)
+
+    def place(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(sizes):
+            best = len(free)
+            return
+        for b in {f: i for i, f in enumerate(free) if f >= sizes[k]}.values():
+            place(k + 1, [f - sizes[k] if i == b else f for i, f in enumerate(free)])
+        place(k + 1, [*free, room - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_brute_force():
+    rng = random.Random(4)
+    beaten = 0
+    for _ in range(400):
+        room = rng.choice([10, 20, 50])
+        sizes = sorted((rng.randint(1, room // 2 + 1) for _ in range(rng.randint(1, 10))), reverse=True)
+        n = fewest(sizes, room)
+        assert len(complete_bins(sizes, room)) == n
+        beaten += len(best_fit(sizes, room)) > n
+    assert beaten
 
 
 def test_words_as_the_library():
@@ -71,7 +93,8 @@ def check_places(out, room):
 def test_rounds(spark, sizes):
     df = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sizes)], "doc_id long, piece int, length long")
     n = check_places(pack(df, 10, group_pieces=16).collect(), 10)
-    assert n <= -(-sum(sizes) // 10) + (len(sizes) // 3 if min(sizes) > 5 else 3)
+    # Groups of 16 pieces cost a few sequences in a hundred; [10] and [6] need one each whatever is done.
+    assert n <= 1.05 * max(-(-sum(sizes) // 10), sum(s > 5 for s in sizes)) + 3
 
 
 def test_empty(make_docs):
