@@ -11,7 +11,7 @@ into groups costs no sequences beyond those of the last round.
 
 Scale: a group has at most about ``GROUP_PIECES`` pieces whatever the table's
 size; only ids, lengths and checksums move between tasks, never tokens.  The
-rounds end where a round no longer halves the groups, so they are logarithmic.
+rounds end where a round no longer saves a fifth of the groups, so they are logarithmic.
 """
 
 from __future__ import annotations
@@ -181,6 +181,15 @@ def complete_bins(sizes: list[int], room: int, max_nodes: int = MAX_NODES) -> li
     return [[where[s].pop() for s in b] for b in solution]
 
 
+def complete_poor_bins(sizes: list[int], room: int) -> list[list[int]]:
+    """Best fit, and branch and bound over the pieces of its poor bins alone: what stays poor is packed anew anyway."""
+    bins = best_fit(sizes, room)
+    poor = [b for b in bins if room - sum(sizes[i] for i in b) > WASTE * room]
+    members = [i for b in poor for i in b]
+    again = complete_bins([sizes[i] for i in members], room, MAX_NODES // 4)
+    return [b for b in bins if room - sum(sizes[i] for i in b) <= WASTE * room] + [[members[i] for i in b] for b in again]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids, cut after each ``length`` of them."""
 
@@ -195,6 +204,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int,
                 out += [(doc, p, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)])) for p, s in enumerate(range(0, n, length))]
             a, p, s, w, c = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(w, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # Workers serve later stages too; they should not carry the words along.
+        table.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -206,7 +217,7 @@ def _pack_group(room: int, round_no: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row"], kind="stable").reset_index(drop=True)
         sizes = group["length"].tolist()
-        bins = complete_bins(sizes, room)
+        bins = complete_bins(sizes, room) if last else complete_poor_bins(sizes, room)
         seq, at, is_open = (np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool))
         base = (round_no << 56) | (int(group["group"].iloc[0]) << 24)
         for b, members in enumerate(bins):
@@ -234,7 +245,7 @@ def pack(pieces: DataFrame, room: int, group_pieces: int = GROUP_PIECES) -> Data
     while True:
         groups = max(1, -(-rest.count() // group_pieces))
         # Bins that stay poor however they are dealt (pieces over half the room) end the rounds.
-        last = groups == 1 or before is not None and groups > before // 2
+        last = groups == 1 or before is not None and 5 * groups > 4 * before
         packed = materialize(
             rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups))).groupBy("group").applyInPandas(_pack_group(room, round_no, last), _PLACES), f"packed-{round_no}"
         )

@@ -93,6 +93,10 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
