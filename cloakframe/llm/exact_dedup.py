@@ -176,6 +176,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("text_sha256", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("size")).alias("size"), "best")
         .where("size > 1")
     )
+    # Written first, so that Spark can split a large group's rows in this join.
+    classes = materialize(classes, "classes")
     keep = F.coalesce(-F.col("best.rank"), F.col("doc_id"))
     return rows.join(classes, "text_sha256", "left").select(
         F.col("doc_id").alias(id_col), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256"
