@@ -12,8 +12,9 @@ length, joined, and then decoded; only segments are shuffled.  A payload whose
 digest differs from its header's stops the job.
 
 Scale: an archive has at most ``records_per_file`` records and is read by one
-task.  Equal payloads are found by digest with partial aggregation; payloads
-themselves are never shuffled.
+task.  Equal payloads are found by digest with partial aggregation.  The list
+of revisits is written before it is joined, so payloads stay where they are
+read if that list is small enough for Spark to broadcast, and else move once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialize, text_bytes
 
 CHUNK_BYTES, SEGMENT_BYTES, RECORDS_PER_FILE = 8192, 32_768, 4000
 _DATE = "2024-01-01T00:00:00Z"
@@ -162,8 +163,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("payload"))
     keyed = rows.withColumn("key", F.sha2("payload", 256))
     first = keyed.where(F.length("payload") >= min_revisit_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # Only revisits are looked up by page and digest, so payloads stay where they are read unless Spark finds no small side.
     again = keyed.select("page_id", "key").join(first, "key").where("page_id > first").select("page_id", "key", F.col("first").alias("refers_to")).distinct()
+    again = materialize(again, "revisits")
     records = keyed.join(again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
