@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,3 +151,43 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         out[i:j] = span_hashes(lut[data[lo:hi]], starts[i:j] - lo, ends[i:j] - lo)
         i = j
     return out
+
+
+#: Bits of a membership filter (4 MB whatever the data's size), as a power of two.
+FILTER_BITS = 25
+_SLICES = 16
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    some = False
+    for b in batches:
+        some = True
+        bits[filter_cells(b.column(0).to_numpy())] = True
+    if some:
+        for k, part in enumerate(np.split(np.packbits(bits), _SLICES)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "bits"])
+
+
+def _united(group: pa.Table) -> pa.Table:
+    total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for c in group.column("bits").chunks for x in c])
+    return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+
+
+def filter_cells(values: np.ndarray) -> np.ndarray:
+    return (mix(values.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def membership_filter(values: DataFrame) -> bytes:
+    """A filter of fixed size over the one long column of ``values``: it never misses one, and lets others by chance pass.
+
+    It only saves work: whatever passes is checked by what follows.
+    """
+    parts = values.mapInArrow(_filter_parts, "slice int, bits binary").groupBy("slice").applyInArrow(_united, "slice int, bits binary").collect()
+    return b"".join(bytes(r["bits"]) for r in sorted(parts, key=lambda r: r["slice"])) or bytes(1 << (FILTER_BITS - 3))
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the filter (its bytes as an array) lets through."""
+    cell = filter_cells(values)
+    return (bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1

@@ -10,7 +10,7 @@ form a class, and classes are joined:
     asked share an n-gram of their prefixes.
 3.  Sets that share one are candidates if lengths and positions still allow
     the overlap.  In a long list each set is paired at first with those at
-    distances 1, 2, 4 and so on only; such lists are kept.
+    distances 1, 8, 64 and so on only; such lists are kept.
 4.  Candidates are distinct pairs.  The suffix filter bounds the overlap by a
     partition of both sets; pairs that pass it are verified once, exactly.
 5.  Links make components.  Kept lists whose members are already connected
@@ -33,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_view, materialize, mix, partitions, text_bytes, word_hashes, word_spans
+from .common import blocks, byte_view, materialize, membership_filter, mix, partitions, passes, text_bytes, word_hashes, word_spans
 from .components import connected_components, merge_components
 
 #: Cells of the count table (4 bytes each; its size does not depend on the data) as a power of two.
-COUNT_BITS = 22
+COUNT_BITS = 21
 #: Up to so many sets, a list is paired in full at once.
 SHORT_LIST = 24
 #: An n-gram counted more often has its list salted into parts of about this size.
 SALT_ROWS = 16_384
+#: Prefix entries that a task holds before it sends them (24 bytes each).
+HELD_ENTRIES = 400_000
 #: Sets in a part of a list that is compared in full with another part.
 PART_ROWS = 512
 #: Cells of the suffix filter's partition.
@@ -137,7 +139,11 @@ def _prefixes(width: int, percent: int, counts_var, buckets: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.unique(np.concatenate(held))
+            rows = np.concatenate(held)
+            held.clear()
+            rows = rows[np.lexsort((rows["c"], rows["t"]))]
+            # Copies of one set send one entry.
+            rows = rows[np.append(True, (rows["t"][1:] != rows["t"][:-1]) | (rows["c"][1:] != rows["c"][:-1]))]
             salt = rows["c"].astype(np.uint64) % _salts(counts[rows["t"] & np.uint64(len(counts) - 1)])
             bucket = (mix(rows["t"] ^ mix(salt + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -162,9 +168,9 @@ def _prefixes(width: int, percent: int, counts_var, buckets: int):
             out["t"], out["c"], out["n"], out["p"] = h[order][keep], lo[of][keep], n[of][keep], place[keep]
             held.append(out)
             size += len(out)
-            if size > 1_000_000:
+            if size > HELD_ENTRIES:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield from flush()
 
@@ -217,13 +223,13 @@ def _candidates(percent: int, counts_var):
         for d in range(1, min(SHORT_LIST, int(size.max(initial=1)))):
             i = np.flatnonzero((t[:-d] == t[d:]) & short[:-d])
             pair(i, i + d)
-        # A long list: partners at distances 1, 2, 4 and so on, so every set meets a few dozen others.
+        # A long list: partners at distances 1, 8, 64 and so on, so every set meets a handful of others.
         inside = at - head
         d = 1
         while d < int(size.max(initial=0)):
             i = np.flatnonzero(~short & (inside + d < length))
             pair(i, i + d)
-            d *= 2
+            d *= 8
         found = np.unique(np.concatenate(pairs), axis=0)
         found = found[found[:, 0] != found[:, 1]]
         salted = _salts(counts[t & np.uint64(len(counts) - 1)]) > 1
@@ -235,9 +241,11 @@ def _candidates(percent: int, counts_var):
     return run
 
 
-def _contents(width: int):
+def _contents(width: int, wanted_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, h, at in _sets_of(batches, width):
+        bits = np.frombuffer(wanted_var.value, np.uint8)
+        some = (b.filter(pa.array(passes(bits, b.column("doc_id").to_numpy()))) for b in batches)
+        for b, h, at in _sets_of(some, width):
             of = np.repeat(np.arange(len(at) - 1), np.diff(at))
             cells = np.bincount(of * SUFFIX_CELLS + (h >> np.uint64(56)).astype(np.int64), minlength=(len(at) - 1) * SUFFIX_CELLS)
             cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, SUFFIX_CELLS)
@@ -353,7 +361,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, id_co
     kept = found.where("token is not null").join(rep_of.withColumnRenamed("lo", "cls"), "cls").select("token", "rep", "n", "pos", "salted").distinct()
     kept = materialize(kept, "kept")
     wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(kept.select(F.col("rep").alias("doc_id"))).distinct(), "wanted")
-    contents = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_contents(width), "rep long, size long, cells binary, grams binary"), "contents")
+    # A filter of fixed size spares the shuffle of texts; sets that pass it by chance meet no pair.
+    wanted_var = spark.sparkContext.broadcast(membership_filter(wanted))
+    contents = materialize(rows.mapInArrow(_contents(width, wanted_var), "rep long, size long, cells binary, grams binary"), "contents")
 
     links = _links(pairs, contents, percent, "first")
     labels = materialize(connected_components(links), "labels")
