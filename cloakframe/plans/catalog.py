@@ -541,6 +541,41 @@ def mia_dcr(t):
     return attacks.membership_inference(attacks.dcr(p.where("p_partkey % 10 = 0"), p.where("p_partkey % 10 <> 0"), "p_partkey", ["p_size", "p_retailprice"]))
 
 
+# The four queries above take subsets of part, as their SQL does; those below take whole part against its release.
+
+
+@query("""WITH b AS (SELECT p_partkey, substr(p_name, 1, 4) || repeat('*', length(p_name) - 6) || right(p_name, 2) AS p_name, p_brand FROM part)
+SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, round((jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2, 6) AS score FROM part a JOIN b ON a.p_name = b.p_name OR a.p_brand = b.p_brand
+WHERE (jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2 >= 0.85""")
+def link_probabilistic_whole(t):
+    p = t("part")
+    return attacks.probabilistic_linkage(p, mask.mask_middle(p, "p_name", 4, 2, keep_separators=False), "p_partkey", "p_partkey", ["p_name", "p_brand"])
+
+
+def released(t: Tables) -> DataFrame:
+    """Part with sizes and prices rounded to tens."""
+    return generalize.round_numbers(generalize.round_numbers(t("part"), "p_size", -1), "p_retailprice", -1)
+
+
+_NEAR_WHOLE = """WITH d AS (SELECT round_even(p_size / 10, 0) * 10 AS x, round_even(p_retailprice / 10, 0) * 10 AS y FROM part), s AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM d)"""
+_NEAR_D = "sqrt(((p_size - x) / sx) ** 2 + ((p_retailprice - y) / sy) ** 2)"
+
+
+@query(f"{_NEAR_WHOLE} SELECT p_partkey, round(min({_NEAR_D}), 6) AS dcr FROM part, d, s GROUP BY 1")
+def dcr_whole(t):
+    return attacks.dcr(t("part"), released(t), "p_partkey", ["p_size", "p_retailprice"])
+
+
+@query(f"{_NEAR_WHOLE}, r AS (SELECT p_partkey, min({_NEAR_D}, 2) AS l FROM part, d, s GROUP BY 1) SELECT p_partkey, round(round(l[1], 6) / (round(l[2], 6) + 1e-10), 6) AS nndr FROM r")
+def nndr_whole(t):
+    return attacks.nndr(t("part"), released(t), "p_partkey", ["p_size", "p_retailprice"], scale=True)
+
+
+@query(f"{_NEAR_WHOLE}, r AS (SELECT p_partkey, round(min({_NEAR_D}), 6) AS dcr FROM part, d, s GROUP BY 1) SELECT p_partkey, dcr, dcr < (SELECT median(dcr) FROM r WHERE dcr > 0) AS member FROM r")
+def mia_dcr_whole(t):
+    return attacks.membership_inference(dcr_whole(t))
+
+
 @query("""WITH k AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0), m AS (SELECT o_orderstatus AS f, o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM k GROUP BY 1, 2)
 SELECT o_orderkey, g AS guess FROM orders LEFT JOIN m ON f = o_orderstatus AND r = 1 WHERE o_orderkey % 2 = 1""")
 def attr_inference(t):
