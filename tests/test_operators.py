@@ -174,6 +174,24 @@ def test_linkage_of_null_keys(spark):
     assert sorted(rows(attacks.probabilistic_linkage(a, a, "i", "i", ["k", "l"], 0.5))) == [(1, 1, 0.5), (2, 2, 0.5)]
 
 
+@pytest.mark.parametrize(("seed", "n"), [(1, 5), (2, 12), (3, 400)])
+def test_cluster_linkage_finds_the_best_of_all(spark, seed, n):
+    r = np.random.default_rng(seed)
+    x, y = r.normal(size=(n, 3)) ** 3, r.normal(size=(40, 3)) ** 3
+    tables = [spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(m)], "i int, p double, q double, r double") for m in (x, y)]
+    got = rows(attacks.cluster_linkage(*tables, "i", "i", ["p", "q", "r"]))
+    u, v = (x - x.mean(0)) / x.std(0, ddof=1), (y - x.mean(0)) / x.std(0, ddof=1)
+    axes = np.linalg.eigh(np.cov(u.T))[1][:, :0:-1]
+    u, v = u @ axes, v @ axes
+    cosine = (u / np.linalg.norm(u, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T
+    best = {}
+    for b in range(len(y)):
+        a = int(cosine[:, b].argmax())
+        if cosine[a, b] >= 0.8:
+            best[a] = max(best.get(a, (0.0, 0)), (float(cosine[a, b]), b))
+    assert sorted(got) == sorted((a, b, pytest.approx(s, abs=1e-6)) for a, (s, b) in best.items())
+
+
 def test_currency_and_mvf(spark):
     df = spark.createDataFrame([("$1,000.00",), ("1.234,56 EUR",), ("(5.00)",), ("invalid",), (None,)], "x string")
     assert [r[0] for r in rows(df.select(profile.parse_currency(F.col("x"))))] == [1000.0, 1234.56, -5.0, None, None]
