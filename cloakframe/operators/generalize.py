@@ -183,17 +183,20 @@ def hierarchy(df: DataFrame, field: str, mapping: DataFrame, level: str, unknown
     """A value's ancestor in ``mapping`` (columns value and levels).
 
     Values missing there are matched to the most similar dictionary value by
-    edit distance if ``similar`` is given (only distinct missing values are
-    compared, blocked by first letter), then become ``unknown``.
+    edit distance if ``similar`` is given (each distinct missing value is
+    compared with all of the dictionary whose length allows it), then become
+    ``unknown``.
     """
     table = mapping.select(normalize_category(F.col("value"), normal).alias("__value"), F.col(level).alias("__level")).dropDuplicates(["__value"])
     rows = df.withColumn("__key", normalize_category(F.col(field).cast("string"), normal))
     out = rows.join(table, rows["__key"] == table["__value"], "left")
     new = F.col("__level")
     if similar is not None:
-        missing = rows.select("__key").where("__key is not null").distinct().join(table, F.col("__key") == F.col("__value"), "left_anti").withColumn("__first", F.substring("__key", 1, 1))
-        near = missing.join(table.withColumn("__first", F.substring("__value", 1, 1)), "__first")
-        score = 1 - F.levenshtein("__key", "__value") / F.greatest(F.length("__key"), F.length("__value"), F.lit(1))
+        missing = rows.select("__key").where("__key is not null").distinct().join(table, F.col("__key") == F.col("__value"), "left_anti")
+        longer = F.greatest(F.length("__key"), F.length("__value"), F.lit(1))
+        # The lengths' difference is the least distance.
+        near = missing.join(table, 1 - F.abs(F.length("__key") - F.length("__value")) / longer >= similar)
+        score = 1 - F.levenshtein("__key", "__value") / longer
         best = near.withColumn("__score", score).where(F.col("__score") >= similar).groupBy("__key").agg(F.max_by("__level", F.struct("__score", F.col("__value"))).alias("__near"))
         out = out.join(best, "__key", "left")
         new = F.coalesce(new, F.col("__near"))

@@ -53,16 +53,45 @@ def categorical_profile(df: DataFrame, field: str, top: int = 10) -> DataFrame:
 
 
 def typo_candidates(df: DataFrame, field: str, rare: int = 2, common: int = 10, distance: int = 2) -> DataFrame:
-    """(value, like, distance): rare values within an edit distance of common ones that share an end.
+    """(value, like, distance): rare values within an edit distance of common ones, or that hold or are held by one.
 
-    Pairs are blocked by the first and the last three characters, so no product of values is formed.
+    Nothing is lost and no product of values is formed.  Of the ``distance`` + 1
+    segments of a common value, edits leave one whole, which a rare value holds
+    at most ``distance`` places away; very short values have empty segments and
+    meet all others of about their length.  A held value is found by the
+    rarest of its runs of three characters (or by all of a shorter one).
     """
     c = df.where(F.col(field).isNotNull()).groupBy(F.col(field).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.substring("value", 1, 3)), F.concat(F.lit(">"), F.substring(F.col("value"), F.greatest(F.length("value") - 2, F.lit(1)), F.lit(3)))))
-    a = c.where(F.col("n") <= rare).select("value", ends.alias("end"))
-    b = c.where(F.col("n") >= common).select(F.col("value").alias("like"), ends.alias("end"))
-    d = F.levenshtein("value", "like", distance)
-    return a.join(b, "end").select("value", "like", d.alias("distance")).where("distance >= 0").distinct()
+    a = c.where(F.col("n") <= rare).select("value")
+    b = c.where(F.col("n") >= common).select(F.col("value").alias("like"))
+    parts = range(distance + 1)
+    bound = lambda length, i: F.floor(length * i / (distance + 1)).cast("int")
+    n = F.length("like")
+    segments = F.array(*[F.xxhash64(n, F.lit(i), F.substring("like", bound(n, i) + 1, bound(n, i + 1) - bound(n, i))) for i in parts])
+
+    def places(length: Column, i: int) -> Column:
+        first, size = bound(length, i), bound(length, i + 1) - bound(length, i)
+        # Of the edits, i lie before the first whole segment that has as many before it as segments, the others after it.
+        more = F.length("value") - length
+        low, high = first + F.greatest(F.lit(-i), more - (distance - i)), first + F.least(F.lit(i), more + (distance - i))
+        at = F.filter(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda p: (p >= 0) & (p + size <= F.length("value")))
+        return F.transform(at, lambda p: F.xxhash64(length, F.lit(i), F.substring(F.col("value"), p + 1, size)))
+
+    lengths = F.sequence(F.greatest(F.length("value") - distance, F.lit(0)), F.length("value") + distance)
+    held = F.array_distinct(F.flatten(F.transform(lengths, lambda length: F.concat(*[places(length, i) for i in parts]))))
+    near = a.select("value", F.explode(held).alias("key")).join(b.select("like", F.explode(segments).alias("key")), "key").where(F.levenshtein("value", "like", distance) >= 0).select("value", "like")
+
+    def inside(short: DataFrame, long: DataFrame, s: str, w: str) -> DataFrame:
+        runs = lambda x, size: F.when(F.length(x) >= size, F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda p: F.substring(F.col(x), p, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        grams = long.select(w, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(w, k) for k in (1, 2, 3)]))).alias("gram"))
+        counts = grams.groupBy("gram").agg(F.count("*").alias("m"))
+        own = F.when(F.length(s) < 3, F.array(F.col(s))).otherwise(runs(s, 3))
+        # A run that no long value holds makes the pair impossible.
+        asked = short.select(s, F.explode(F.array_distinct(own)).alias("gram")).join(counts, "gram", "left").groupBy(s).agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
+        return asked.join(grams, "gram").where(F.col(w).contains(F.col(s))).select("value", "like")
+
+    pairs = near.unionByName(inside(a, b, "value", "like")).unionByName(inside(b, a, "like", "value")).distinct()
+    return pairs.where("value <> like").select("value", "like", F.levenshtein("value", "like").alias("distance"))
 
 
 def correlation_matrix(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -948,6 +948,12 @@ def typo_candidates(t):
     return profile.typo_candidates(rows.unionByName(wrong), "v")
 
 
+@query()
+def typo_words(t):
+    words = t("documents").select(F.explode(text.words(F.col("text"))).alias("word"))
+    return profile.typo_candidates(words, "word")
+
+
 @query()
 def model_membership(t):
     p = t("part").select("p_partkey", "p_size", "p_retailprice")

@@ -192,6 +192,32 @@ def test_cluster_linkage_finds_the_best_of_all(spark, seed, n):
     assert sorted(got) == sorted((a, b, pytest.approx(s, abs=1e-6)) for a, (s, b) in best.items())
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_typos_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abc"), r.integers(0, 9)))
+    common = {"KENYA", "IRAN", "UNITED STATES", "é", "ab", "", *(word() for _ in range(40))}
+    rare = {"KEXYA", "IXAN", "UXITED STAXES", "THE UNITED STATES", "STATES", "XENYX", "z", *(word() + word() for _ in range(60))} - common
+    df = spark.createDataFrame([(v,) for v in common for _ in range(10)] + [(v,) for v in rare], "v string")
+    for distance in (1, 2):
+        expected = sorted((a, b, edits(a, b)) for a in rare for b in common if edits(a, b) <= distance or a in b or b in a)
+        assert sorted(rows(profile.typo_candidates(df, "v", distance=distance))) == expected
+
+
+def test_hierarchy_finds_another_first_letter(spark):
+    tree = spark.createDataFrame([("Berlin", "DE"), ("Paris", "FR")], "value string, land string")
+    near = generalize.hierarchy(spark.createDataFrame([("Xerlin",), ("aris",), ("Rome",)], "x string"), "x", tree, "land", similar=0.8)
+    assert sorted(r[0] for r in rows(near)) == ["DE", "FR", "OTHER"]
+
+
 def test_currency_and_mvf(spark):
     df = spark.createDataFrame([("$1,000.00",), ("1.234,56 EUR",), ("(5.00)",), ("invalid",), (None,)], "x string")
     assert [r[0] for r in rows(df.select(profile.parse_currency(F.col("x"))))] == [1000.0, 1234.56, -5.0, None, None]
