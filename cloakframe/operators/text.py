@@ -151,24 +151,46 @@ def _kind(kind: str):
 def leader_clusters(df: DataFrame, field: str, threshold: float = 0.7) -> DataFrame:
     """(value, leader): each distinct value joins the first leader, in the order of values, whose words are similar enough, else leads.
 
-    Only values that share a first word are compared, so a block, not the
-    table, meets in one task.
+    Values of the same words stand for each other.  Two sets can only be
+    similar enough if they share one of their rarest words, as many as the
+    threshold leaves open, so common words make no pairs.  Of the similar
+    pairs, those whose earlier value is known to lead or to follow are settled
+    in rounds, until all are; values without words lead alone.
     """
-    values = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("value")).distinct()
-    blocks = values.withColumn("block", F.coalesce(F.try_element_at(words(F.col("value")), F.lit(1)), F.lit("")))
-
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, set[str]]] = []
-        out = []
-        for v in sorted(group["value"]):
-            w = set(v.lower().split())
-            first = next((n for n, x in leaders if len(w & x) >= threshold * max(1, len(w | x))), None)
-            if first is None:
-                leaders.append((v, w))
-            out.append((v, first or v))
-        return pd.DataFrame(out, columns=["value", "leader"])
-
-    return blocks.groupBy("block").applyInPandas(lead, "value string, leader string")
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    split = F.filter(F.split(F.lower("value"), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    values = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("value")).distinct().withColumn("set", F.array_sort(F.array_distinct(split)))
+    # No word holds a space, so texts of equal words, and only they, have one name.
+    values = values.withColumn("id", F.unhex(F.md5(F.array_join("set", " "))))
+    sets = values.where(F.size("set") > 0).groupBy("id").agg(F.min("value").alias("v"), F.first("set").alias("set")).checkpoint()
+    word = sets.select("id", F.explode("set").alias("word"))
+    ranked = word.join(word.groupBy("word").agg(F.count("*").alias("c")), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("r"))
+    ranked = ranked.withColumn("n", F.size("r"))
+    least = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    ranked = ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), F.col("n") - least + 1)["word"]).alias("i", "word"))
+    x, y = (ranked.select("word", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "i")]) for k in "ab")
+    # At the first word that two sets share, the rest of both bounds what they share in all.
+    most = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    pairs = x.join(y, "word").where(F.col("id_a") < F.col("id_b")).where(most >= threshold * (F.col("n_a") + F.col("n_b") - most) - 1e-9).select("id_a", "id_b").distinct()
+    for k in "ab":
+        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "v", "set")]), f"id_{k}")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    pairs = pairs.where(both >= threshold * (F.size("set_a") + F.size("set_b") - both))
+    links = pairs.select(F.when(F.col("v_a") < F.col("v_b"), F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(F.col("v_a") < F.col("v_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("late")).checkpoint()
+    # Values with nothing similar before them lead.  A value follows if one before it leads, and leads if all before it
+    # follow; each round settles the first unsettled value at least.
+    state = links.select(F.col("late").alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")).checkpoint()
+    while state.where("leads is null").limit(1).count():
+        early = state.select(F.col("id").alias("early"), F.coalesce(F.col("leads").cast("int"), F.lit(-1)).alias("is"))
+        known = links.join(state.where("leads is null").select(F.col("id").alias("late")), "late").join(early, "early", "left").withColumn("is", F.coalesce("is", F.lit(1)))
+        new = known.groupBy("late").agg(F.when(F.max("is") == 1, False).when(F.min("is") == 0, True).alias("new"))
+        state = state.join(new.withColumnRenamed("late", "id"), "id", "left").select("id", F.coalesce("leads", "new").alias("leads")).checkpoint()
+    followers = state.where("not leads").select("id")
+    led = links.join(followers.withColumnRenamed("id", "early"), "early", "left_anti").join(followers.withColumnRenamed("id", "late"), "late")
+    first = led.join(sets.select(F.col("id").alias("early"), "v"), "early").groupBy(F.col("late").alias("id")).agg(F.min("v").alias("first"))
+    leaders = sets.join(first, "id", "left").select("id", F.coalesce("first", "v").alias("leader"))
+    return values.select("id", "value").join(leaders, "id", "left").select("value", F.coalesce("leader", "value").alias("leader"))
 
 
 def closest_match(df: DataFrame, field: str, options: Sequence[str], threshold: float = 0.0, output: str = "closest") -> DataFrame:

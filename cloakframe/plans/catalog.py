@@ -936,6 +936,11 @@ def text_leader_clusters(t):
     return text.leader_clusters(t("part"), "p_type")
 
 
+@query()
+def text_leader_documents(t):
+    return text.leader_clusters(t("documents"), "text")
+
+
 @query()
 def text_minhash(t):
     return t("documents").select("doc_id", text.minhash(F.col("text"), 8).alias("signature"))

@@ -218,6 +218,21 @@ def test_hierarchy_finds_another_first_letter(spark):
     assert sorted(r[0] for r in rows(near)) == ["DE", "FR", "OTHER"]
 
 
+def test_leaders_against_all_pairs(spark):
+    r = np.random.default_rng(6)
+    values = {"big red car", "car red big", "the big red car", "Big  RED car", " ", "", *(" ".join(r.choice(list("abcdefgh"), r.integers(1, 7))) for _ in range(150))}
+    for threshold in (0.5, 0.7, 1.0):
+        leaders, expected = [], []
+        for v in sorted(values):
+            w = set(v.lower().split())
+            first = next((n for n, x in leaders if len(w & x) >= threshold * max(1, len(w | x))), None)
+            if first is None:
+                leaders.append((v, w))
+            expected.append((v, v if first is None else first))
+        got = rows(text.leader_clusters(spark.createDataFrame([(v,) for v in values], "t string"), "t", threshold))
+        assert sorted(got) == expected
+
+
 def test_currency_and_mvf(spark):
     df = spark.createDataFrame([("$1,000.00",), ("1.234,56 EUR",), ("(5.00)",), ("invalid",), (None,)], "x string")
     assert [r[0] for r in rows(df.select(profile.parse_currency(F.col("x"))))] == [1000.0, 1234.56, -5.0, None, None]
