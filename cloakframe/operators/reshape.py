@@ -188,11 +188,15 @@ def clean_invalid(df: DataFrame, rules: dict[str, dict[str, Any]], strategy: str
 
 # ---- imputation
 
+#: Slices of the known values' line that random samples are drawn from apart.
+SLICES = 256
+
 
 def impute(df: DataFrame, field: str, strategy: str, value: Any = None, invalid: Sequence[Any] = (), order: Sequence[str] = (), by: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """Nulls (and ``invalid`` values) of a field filled.
 
-    constant, mean, median, mode (smallest on ties), min, max, random_sample;
+    constant, mean, median, mode (smallest on ties), min, max, random_sample
+    (known values as often as they occur);
     with ``order``: ffill, bfill, interpolation (linear by row).  ``by`` keeps
     ordered fills inside a group, which is also what lets them scale.
     """
@@ -207,12 +211,24 @@ def impute(df: DataFrame, field: str, strategy: str, value: Any = None, invalid:
         new = F.timestamp_seconds(F.lit(got)) if kind.typeName().startswith(("timestamp", "date")) and strategy in ("mean", "median") else F.lit(got)
         return df.withColumn(field, F.coalesce(x, new.cast(kind) if kind.typeName() not in ("integer", "long") else new))
     if strategy == "random_sample":
-        # A bounded sample of known values; each null picks one by a hash of its order columns.
-        pool = [r["v"] for r in df.select(x.alias("v")).dropna().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(1000).collect()]
-        if not pool:
+        # Known values lie on a line, each as long as it is common, cut into slices of one length; each null falls on a
+        # place of the line by a hash of its order columns (at random without them).
+        known = df.select(x.alias("v")).dropna().groupBy("v").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(SLICES)).cast("int"))
+        sizes = {r["part"]: r["n"] for r in known.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+        total = sum(sizes.values())
+        if not total:
             return df
-        pick = F.element_at(F.array(*[F.lit(v) for v in pool]), (F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(len(pool))) + 1).cast("int"))
-        return df.withColumn(field, F.coalesce(x, pick))
+        starts = F.array(*[F.lit(sum(n for p, n in sizes.items() if p < k)).cast("long") for k in range(SLICES)])
+        width = -(-total // SLICES)
+        end = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + starts[F.col("part")]
+        line = known.select("v", (end - F.col("n")).alias("at"), end.alias("end"))
+        line = line.select(F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("end") - 1) / width))).alias("slice"), "at", F.lit(0).alias("asks"), "v", F.lit(None).cast(df.schema).alias("row"))
+        place = F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(total)) if order else F.floor(F.rand(seed) * total)
+        asks = df.where(x.isNull()).withColumn("__at", place)
+        asks = asks.select(F.floor(F.col("__at") / width).alias("slice"), F.col("__at").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("v"), F.struct(*df.columns).alias("row"))
+        picked = F.last("v", True).over(Window.partitionBy("slice").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+        filled = line.unionByName(asks).withColumn("v", picked).where("asks = 1").select(*[F.col("v").alias(c) if c == field else F.col("row")[c].alias(c) for c in df.columns])
+        return df.where(x.isNotNull()).unionByName(filled)
     w = Window.partitionBy(*by).orderBy(*order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     if strategy == "ffill":

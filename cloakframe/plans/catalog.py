@@ -941,6 +941,12 @@ def text_leader_documents(t):
     return text.leader_clusters(t("documents"), "text")
 
 
+@query()
+def impute_random_sample(t):
+    known = t("documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"))
+    return reshape.impute(known, "lang", "random_sample", order=["doc_id"])
+
+
 @query()
 def text_minhash(t):
     return t("documents").select("doc_id", text.minhash(F.col("text"), 8).alias("signature"))

@@ -233,6 +233,18 @@ def test_leaders_against_all_pairs(spark):
         assert sorted(got) == expected
 
 
+def test_random_samples_follow_counts(spark):
+    df = spark.range(12000).select("id", F.expr("CASE WHEN id % 6 = 0 THEN NULL WHEN id % 10 < 7 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE concat('c', id) END").alias("v"))
+    for order in (["id"], []):
+        out = reshape.impute(df, "v", "random_sample", order=order)
+        assert out.columns == df.columns and out.count() == 12000 and out.where("v is null").count() == 0
+        assert out.join(df.toDF("id", "was"), "id").where("was <> v").count() == 0
+        share = {r[0]: r[1] / 2000 for r in rows(out.where("id % 6 = 0").groupBy(F.substring("v", 1, 1)).count())}
+        known = {r[0]: r[1] / 10000 for r in rows(df.where("v is not null").groupBy(F.substring("v", 1, 1)).count())}
+        assert share == pytest.approx(known, abs=0.05) and out.where("id % 6 = 0 AND v LIKE 'c%'").select("v").distinct().count() > 100
+    assert sorted(rows(reshape.impute(df, "v", "random_sample", order=["id"]))) == sorted(rows(reshape.impute(df, "v", "random_sample", order=["id"])))
+
+
 def test_currency_and_mvf(spark):
     df = spark.createDataFrame([("$1,000.00",), ("1.234,56 EUR",), ("(5.00)",), ("invalid",), (None,)], "x string")
     assert [r[0] for r in rows(df.select(profile.parse_currency(F.col("x"))))] == [1000.0, 1234.56, -5.0, None, None]
