@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,14 +50,30 @@ def ngram_counts(df: DataFrame, field: str, n: int = 2, least: int = 2) -> DataF
     return grams.groupBy(F.concat_ws(" ", *[F.col(f"g.g{k}") for k in range(n)]).alias("ngram")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def minhash(col: Column, seeds: int = 16, n: int = 3) -> Column:
-    """Least hash of the word n-grams for each seed."""
-    g = ngrams(col, n)
-
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(g, lambda x: F.xxhash64(x, F.lit(seed))))
-
-    return F.array(*[least(s) for s in range(seeds)])
+def minhash(col: Column, seeds: int = 128, n: int = 3) -> Column:
+    """Least hash of the word n-grams for each seed; shorter texts are one gram of all their words, without words all is the greatest long."""
+    mixers = np.random.default_rng(7).integers(1, 2**63, (2, seeds), np.uint64) | np.uint64(1)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def signature(words: pd.Series) -> pd.Series:
+        def least(x: np.ndarray | None) -> np.ndarray | None:
+            if x is None:
+                return None
+            out = np.full(seeds, np.iinfo(np.int64).max)
+            x = np.array(x, np.int64).view(np.uint64)
+            k = min(n, len(x))
+            grams = x[: len(x) - k + 1]
+            for j in range(1, k):
+                grams = grams * np.uint64(0x9E3779B97F4A7C15) + x[j : len(x) - k + 1 + j]
+            for i in range(0, len(grams) if k else 0, 4096):
+                h = (grams[i : i + 4096][None] ^ mixers[0][:, None]) * mixers[1][:, None]
+                h = (h ^ (h >> np.uint64(32))) * mixers[1][:, None]
+                out = np.minimum(out, (h >> np.uint64(1)).min(1).astype(np.int64))
+            return out
+
+        return words.map(least)
+
+    return signature(F.transform(words(col), lambda w: F.xxhash64(w)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -182,6 +182,13 @@ def mask_preset_email(t):
     return mask.mask_email(rows, "mail", "first_char", "masked")
 
 
+@query(rf"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS mail FROM documents)
+SELECT doc_id, mail, substr(split_part(mail, '@', 1), 1, 1) || repeat('*', length(split_part(mail, '@', 1)) - 1) || '@' || split_part(mail, '@', 2) AS masked FROM e""")
+def mask_preset_email_all(t):
+    rows = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))).alias("mail"))
+    return mask.mask_email(rows, "mail", "first_char", "masked")
+
+
 @query(r"SELECT o_orderkey, regexp_replace(CAST(o_orderkey AS VARCHAR), '\d', '9', 'g')::BIGINT AS hidden FROM orders")
 def mask_numeric(t):
     return mask.mask_numbers(t("orders").select("o_orderkey"), "o_orderkey", output="hidden")
@@ -769,6 +776,11 @@ def prof_email(t):
     return profile.email_profile(t("documents").select(F.regexp_extract("text", _MAIL, 0).alias("mail")), "mail")
 
 
+@query(rf"SELECT lower(regexp_extract(mail, '@(.+)$', 1)) AS domain, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_MAIL}')) AS mail FROM documents) GROUP BY 1")
+def prof_email_all(t):
+    return profile.email_profile(t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))).alias("mail")), "mail")
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS invalid, min(o_totalprice) AS min, round(avg(round(o_totalprice, 2)), 4) AS mean, max(o_totalprice) AS max FROM orders")
 def prof_currency(t):
     return profile.currency_profile(t("orders").select(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("x")), "x")
@@ -949,7 +961,7 @@ def impute_random_sample(t):
 
 @query()
 def text_minhash(t):
-    return t("documents").select("doc_id", text.minhash(F.col("text"), 8).alias("signature"))
+    return t("documents").select("doc_id", text.minhash(F.col("text")).alias("signature"))
 
 
 @query()

@@ -262,6 +262,21 @@ def test_text(spark):
     assert rows(df.where("id = 1").select(text.strip_accents(F.lit("é")), text.mtld(F.col("t"))))[0][0] == "e"
 
 
+def test_minhash_estimates_and_short_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(5002)), " ".join(f"w{i}" for i in range(2500, 7502))
+    got = [r[0] for r in rows(spark.createDataFrame([(a,), (b,), ("one two",), ("one",), ("",), (None,)], "t string").select(text.minhash(F.col("t"))))]
+    assert [x and len(x) for x in got] == [128] * 5 + [None] and all(v is not None for x in got[:5] for v in x)
+    assert sum(x == y for x, y in zip(got[0], got[1], strict=True)) / 128 == pytest.approx(1 / 3, abs=0.13)
+    assert got[2] != got[3] and got[3] != got[4]
+
+
+def test_every_address_of_a_text(spark, tmp_path):
+    spark.createDataFrame([(1, "ab@x.org, cd@y.org and ab@x.org"), (2, "none")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()
+    assert sorted(rows(found["prof_email_all"](spark, str(tmp_path)), "domain", "n")) == [("x.org", 2), ("y.org", 1)]
+    assert sorted(rows(found["mask_preset_email_all"](spark, str(tmp_path)), "masked")) == [("a*@x.org",), ("a*@x.org",), ("c*@y.org",)]
+
+
 @pytest.mark.parametrize("kind", ["csv", "json", "parquet", "tsv", "orc"])
 def test_round_trip(spark, tmp_path, kind):
     df = spark.createDataFrame([(1, 'a"b,\tc'), (2, None)], "i int, s string")
