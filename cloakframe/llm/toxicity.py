@@ -248,6 +248,6 @@ def predict_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, toxic: the chain over the two labels that ``labels`` has."""
+    """doc_id, p_low_quality, p_toxic, toxic: the chain over the two labels that ``labels`` has; nothing is toxic where no labelled text fitted it."""
     chain = fit_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
-    return predict_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return predict_chain(docs, chain).withColumn("toxic", (F.col("p_toxic") >= threshold) & F.lit(any(w.any() for w in chain.weights)))

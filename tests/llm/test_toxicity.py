@@ -48,6 +48,13 @@ def test_edges(spark, make_docs):
     assert {r.p_toxic for r in none} == {0.5}
 
 
+def test_nothing_is_toxic_without_labels(spark, make_docs):
+    docs = make_docs([(0, "bad words"), (1, "fine words")])
+    for known in ([], [(0, None, None)], [(99, 1, 1)]):
+        labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+        assert [r.toxic for r in toxicity(docs, labels).collect()] == [False, False]
+
+
 def test_later_categories_see_earlier_ones(spark, make_docs):
     rows, labels = planted(120)
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
