@@ -110,3 +110,9 @@ def adaptive(df: DataFrame, risk_field: str, field: str, bands: Sequence[tuple[f
             new = {"suppress": F.lit(None).cast("string"), "full_mask": F.lit("*****")}[strategy]
         out = F.when(F.col(risk_field) < bound, new).otherwise(out)
     return df.withColumn(field, out)
+
+
+def risk_filtered(df: DataFrame, risk_field: str, operator: str, threshold: float, where: Column | None = None) -> DataFrame:
+    """Rows whose risk passes ``operator`` (ge, gt, le, lt) against ``threshold`` and that pass ``where``."""
+    test = condition(risk_field, operator, [threshold])
+    return df.where(test if where is None else test & F.coalesce(where, F.lit(False)))

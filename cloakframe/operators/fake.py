@@ -6,11 +6,14 @@ constants of the caller or the small ones here, so all of it is expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import places
+
 # Small lists of invented defaults; callers bring their own.
 FIRST_F = ("Ada", "Berta", "Clara", "Dora", "Edith", "Frieda", "Gerda", "Hanna")
 FIRST_M = ("Anton", "Boris", "Carl", "David", "Emil", "Fritz", "Georg", "Hugo")
@@ -61,9 +64,11 @@ def fake_phone(df: DataFrame, field: str, keep_country: bool = True, keep_area:
     country = F.regexp_extract(x, r"^(\+\d{1,3})", 1) if keep_country else F.lit("")
     area = F.regexp_extract(F.substring(x, F.length(country) + 1, F.length(x)), r"^(\D*\d{3})", 1) if keep_area else F.lit("")
     head = F.concat(country, area)
-    h = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), x).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    h = F.sha2(F.concat(F.lit(seed), x).cast("binary"), 256)
     rest = F.split(F.substring(x, F.length(head) + 1, F.length(x)), "")
-    new = F.array_join(F.transform(rest, lambda c, i: F.when(c.rlike(r"^\d$"), F.pmod(F.xxhash64(h, i), F.lit(10)).cast("string")).otherwise(c)), "")
+    # The digit at a place is picked by four hex digits of the hash, from a place of their own.
+    own = lambda i: F.conv(F.substring(h, (i % 60) + 1, F.lit(4)), 16, 10).cast("long") + F.floor(i / 60)
+    new = F.array_join(F.transform(rest, lambda c, i: F.when(c.rlike(r"^\d$"), F.pmod(own(i), F.lit(10)).cast("string")).otherwise(c)), "")
     return df.withColumn(output or field, F.when(x.isNotNull(), F.concat(head, new)))
 
 
@@ -83,8 +88,8 @@ def one_to_one(df: DataFrame, field: str, options: DataFrame, seed: int = 42) ->
     """
     a = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("original")).distinct()
     b = options.select(F.col("value").cast("string").alias("pseudonym")).distinct().join(a, F.col("pseudonym") == F.col("original"), "left_anti")
-    a = a.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("original", F.lit(seed)), "original")))
-    b = b.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("pseudonym", F.lit(seed)), "pseudonym")))
+    shuffled = lambda c: [F.md5(F.concat(F.lit(f"{seed}:"), F.col(c)).cast("binary")), F.col(c)]
+    a, b = places(a, shuffled("original"), "n"), places(b, shuffled("pseudonym"), "n")
     return a.join(b, "n", "left").select("original", "pseudonym")
 
 
@@ -111,3 +116,53 @@ def generation_metrics(df: DataFrame, before: str, after: str) -> DataFrame:
     """One row: rows, share replaced, distinct values before and after."""
     changed = F.coalesce(F.col(before).cast("string") != F.col(after), F.lit(False))
     return df.agg(F.count("*").alias("rows"), F.round(F.avg(changed.cast("double")), 6).alias("replaced"), F.count_distinct(before).alias("distinct_before"), F.count_distinct(after).alias("distinct_after"))
+
+
+@dataclass(frozen=True)
+class Generator:
+    """A kind of value: a column made of a key column, and the pattern that its values match."""
+
+    name: str
+    make: Callable[[Column, str], Column]
+    pattern: str
+
+    def generate(self, spark: SparkSession, n: int, seed: str = "42") -> DataFrame:
+        """(value) of ``n`` rows."""
+        return spark.range(n).select(self.make(F.col("id").cast("string"), seed).alias("value"))
+
+    def generate_like(self, value: Column, seed: str = "42") -> Column:
+        """The same replacement for the same value; nulls stay null."""
+        return F.when(value.isNotNull(), self.make(value.cast("string"), seed))
+
+    def transform(self, df: DataFrame, field: str, mode: str = "REPLACE", seed: str = "42", mapping: DataFrame | None = None) -> DataFrame:
+        """REPLACE changes the field, ENRICH adds ``_field``; a ``mapping`` (original, pseudonym) goes before generated values."""
+        out = self.generate_like(F.col(field), seed)
+        if mapping is not None:
+            df = df.join(mapping.select(F.col("original").alias("__o"), F.col("pseudonym").alias("__p")), F.col(field).cast("string") == F.col("__o"), "left")
+            out = F.coalesce(F.col("__p"), out)
+        return df.withColumn(field if mode == "REPLACE" else f"_{field}", out).drop("__o", "__p")
+
+    def validate(self, value: Column) -> Column:
+        return F.coalesce(value.rlike(f"^(?:{self.pattern})$"), F.lit(False))
+
+
+# What syllable names are made of.
+_HEADS = ("Al", "Be", "Ca", "Do", "El", "Fa", "Gi", "Ha", "Il", "Jo", "Ka", "Lu", "Ma", "No", "Or", "Pa")
+_MIDDLES = ("ba", "di", "fe", "go", "ki", "la", "mi", "ne", "ra", "ri", "sa", "so", "ta", "ti", "va", "ve")
+_TAILS = ("n", "na", "ra", "s", "lo", "ta", "rin", "la", "mir", "da", "vo", "sk", "ner", "man", "tti", "ez")
+
+
+def syllable_name(key: Column, seed: str) -> Column:
+    """One of 4096 invented names."""
+    return F.concat(pick(key, f"{seed}-h", _HEADS), pick(key, f"{seed}-m", _MIDDLES), pick(key, f"{seed}-t", _TAILS))
+
+
+GENERATORS = {
+    g.name: g
+    for g in (
+        Generator("name", lambda k, s: F.concat_ws(" ", syllable_name(k, f"{s}-first"), syllable_name(k, f"{s}-last")), r"[A-Z][a-z]+ [A-Z][a-z]+"),
+        Generator("email", lambda k, s: F.concat(F.lower(syllable_name(k, f"{s}-first")), F.lit("."), F.lower(syllable_name(k, f"{s}-last")), F.lit("@"), pick(k, f"{s}-d", DOMAINS)), r"[a-z]+\.[a-z]+@example\.(com|org|net)"),
+        Generator("organization", lambda k, s: F.concat_ws(" ", syllable_name(k, f"{s}-org"), pick(k, f"{s}-kind", tuple(ORG_KINDS.values()))), r"[A-Z][a-z]+ [A-Z][a-z]+"),
+        Generator("phone", lambda k, s: F.concat(F.lit("+1-555-"), F.lpad(pick_number(k, f"{s}-a", 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad(pick_number(k, f"{s}-b", 10000).cast("string"), 4, "0")), r"\+1-555-\d{3}-\d{4}"),
+    )
+}

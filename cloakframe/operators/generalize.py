@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import places
+
 
 def _text(x: float, whole: bool) -> str:
     return str(int(x)) if whole else f"{x:.2f}"
@@ -151,8 +153,8 @@ def group_rare(df: DataFrame, field: str, least: int = 10, style: str = "single"
         named = rare.select("value", F.lit(name).alias("__new"))
     else:
         groups = max(1, rare.count() // 10)
-        rank = F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1
-        named = rare.select("value", F.format_string(f"{name}%03d", (rank % groups).cast("int")).alias("__new"))
+        ranked = places(rare, [-F.col("n"), F.col("value")], "__rank")
+        named = ranked.select("value", F.format_string(f"{name}%03d", ((F.col("__rank") - 1) % groups).cast("int")).alias("__new"))
     out = df.join(named, df[field] == named["value"], "left").withColumn("__new", F.coalesce("__new", F.col(field).cast("string")))
     columns = [F.col("__new").alias(c) if c == field and not output else df[c] for c in df.columns]
     return out.select(*columns, *([F.col("__new").alias(output)] if output else []))
@@ -215,7 +217,7 @@ def category_rules(df: DataFrame, field: str, rules: Sequence[tuple[int, Column,
 
 
 def split_categories(df: DataFrame, field: str, separator: str = "|", output: str = "parts") -> DataFrame:
-    return df.withColumn(output, F.transform(F.split(F.col(field), rf"\Q{separator}\E"), F.trim))
+    return df.withColumn(output, F.transform(F.split(F.col(field), rf"\Q{separator}\E"), lambda x: F.trim(x)))
 
 
 def merge_categories(df: DataFrame, field: str, separator: str = "|", output: str | None = None) -> DataFrame:

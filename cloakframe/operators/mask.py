@@ -106,7 +106,7 @@ def mask_share(df: DataFrame, field: str, percent: float, seed: int = 42, char:
     """A share of the characters, chosen by a hash of text, place and seed: the same each time."""
     text = F.col(field).cast("string")
     n = F.floor(F.length(text) * percent / 100).cast("int")
-    order = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda i: F.struct(F.xxhash64(text, i, F.lit(seed)).alias("h"), i.alias("i")))
+    order = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), i, text).cast("binary")).alias("h"), i.alias("i")))
     hit = F.transform(F.slice(F.array_sort(order), F.lit(1), F.greatest(n, F.lit(0))), lambda s: s["i"])
     new = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(F.array_contains(hit, i), char).otherwise(c)), "")
     return df.withColumn(output or field, F.when((text == "") | text.isNull(), text).otherwise(new))

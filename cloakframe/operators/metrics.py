@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .models import group_sizes
+from .ordered import running_sums
 
 
 # ---- privacy
@@ -102,8 +103,9 @@ def distributions(a: DataFrame, b: DataFrame, field: str, other: str | None = No
 def kl_js(a: DataFrame, b: DataFrame, field: str, floor: float = 0.01) -> DataFrame:
     """One row: Kullback-Leibler divergence (nats) of the floored distributions, and Jensen-Shannon distance."""
     d = distributions(a, b, field)
-    t = d.agg(F.sum("n_a").alias("ta"), F.sum("n_b").alias("tb"))
-    d = d.crossJoin(F.broadcast(t)).select(F.greatest(F.col("n_a") / F.col("ta"), F.lit(floor)).alias("p"), F.greatest(F.col("n_b") / F.col("tb"), F.lit(floor)).alias("q"))
+    # Totals are one row each: constants for what follows, so the values are counted once a pass.
+    t = [df.where(F.col(field).isNotNull()).count() or 1 for df in (a, b)]
+    d = d.select(F.greatest(F.col("n_a") / F.lit(t[0]), F.lit(floor)).alias("p"), F.greatest(F.col("n_b") / F.lit(t[1]), F.lit(floor)).alias("q"))
     s = d.agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     d = d.crossJoin(F.broadcast(s)).select(F.greatest(F.col("p") / F.col("sp"), F.lit(floor)).alias("p"), F.greatest(F.col("q") / F.col("sq"), F.lit(floor)).alias("q"))
     p, q = F.col("p"), F.col("q")
@@ -111,31 +113,60 @@ def kl_js(a: DataFrame, b: DataFrame, field: str, floor: float = 0.01) -> DataFr
     return d.agg(F.round(F.sum(p * F.log(p / q)), 6).alias("kl"), F.round(F.sqrt(F.greatest(F.lit(0.0), (F.sum(p * F.log(p / m)) + F.sum(q * F.log(q / m))) / 2)), 6).alias("js_distance"))
 
 
-def ks(a: DataFrame, b: DataFrame, field: str, other: str | None = None) -> DataFrame:
+def _gaps(d: DataFrame) -> DataFrame:
+    """(v, step, ca, cb, na, nb): both distribution functions at each value and the distance to the next."""
+    t = d.agg(F.sum("n_a").alias("ta"), F.sum("n_b").alias("tb")).first()
+    run = running_sums(d, [F.col("v")], {"ca": F.col("n_a"), "cb": F.col("n_b")}, following=F.col("v").cast("double"))
+    na, nb = F.lit(t["ta"]).cast("double"), F.lit(t["tb"]).cast("double")
+    return run.select("v", (F.col("__next") - F.col("v").cast("double")).alias("step"), F.try_divide("ca", na).alias("ca"), F.try_divide("cb", nb).alias("cb"), na.alias("na"), nb.alias("nb"))
+
+
+def ks(a: DataFrame, b: DataFrame, field: str, other: str | None = None, normalize: str | None = None) -> DataFrame:
     """One row: the two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value.
 
-    Values are counted before the running sums, so the single ordered pass is
-    over distinct values only.
+    ``normalize``: ``zscore`` standardizes each side by its own mean and
+    sample deviation, ``minmax`` both by the limits of the two together.
+    Values are counted before the running sums.
     """
-    d = distributions(a, b, field, other)
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    t = d.agg(F.sum("n_a").alias("ta"), F.sum("n_b").alias("tb"))
-    gap = d.select("v", F.sum("n_a").over(w).alias("ca"), F.sum("n_b").over(w).alias("cb")).crossJoin(F.broadcast(t))
-    r = gap.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"), F.max("ta").alias("na"), F.max("tb").alias("nb"))
-    n = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
-    x = F.col("d") * n
+    other = other or field
+    if normalize == "zscore":
+        def scaled(df: DataFrame, f: str) -> DataFrame:
+            r = df.agg(F.avg(f).alias("m"), F.stddev_samp(f).alias("s")).first()
+            return df.select(((F.col(f) - F.lit(r["m"])) / F.lit(r["s"] or 1.0)).alias("x"))
+        a, b, field, other = scaled(a, field), scaled(b, other), "x", "x"
+    elif normalize == "minmax":
+        r = a.select(F.col(field).alias("x")).unionByName(b.select(F.col(other).alias("x"))).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        a, b = (df.select(((F.col(f) - F.lit(r["lo"])) / F.lit((r["hi"] - r["lo"]) or 1.0)).alias("x")) for df, f in ((a, field), (b, other)))
+        field, other = "x", "x"
+    r = _gaps(distributions(a, b, field, other)).agg(F.max(F.abs(F.col("ca") - F.col("cb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return r.select(F.round("d", 6).alias("statistic"), F.round(_ks_p("d", "na", "nb"), 6).alias("p_value"))
+
+
+def _ks_p(d: str, na: str, nb: str) -> Column:
+    x = F.col(d) * F.sqrt(F.col(na) * F.col(nb) / (F.col(na) + F.col(nb)))
     p = 2 * sum(((-1) ** (k - 1) * F.exp(-2 * k * k * x * x) for k in range(1, 21)), F.lit(0.0))
-    return r.select(F.round("d", 6).alias("statistic"), F.round(F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))), 6).alias("p_value"))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+
+def ks_keyed(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, how: str = "sum") -> DataFrame:
+    """One row: statistic, p_value and effect (statistic in units of its critical value at 5 percent) of a value aggregated by keys.
+
+    Keys of both tables stand in their order; the statistic is the largest gap of the two cumulated shares.
+    """
+    stat = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}[how]
+    side = lambda df, n: df.dropna(subset=list(keys)).groupBy(*keys).agg(stat(value).cast("double").alias(n))
+    d = side(a, "n_a").join(side(b, "n_b"), list(keys), "full").select(F.struct(*keys).alias("v"), F.coalesce("n_a", F.lit(0.0)).alias("n_a"), F.coalesce("n_b", F.lit(0.0)).alias("n_b"))
+    t = d.agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), F.count_if(F.col("n_a") != 0).alias("ka"), F.count_if(F.col("n_b") != 0).alias("kb")).first()
+    run = running_sums(d, [F.col("v")[k] for k in keys], {"ca": F.col("n_a"), "cb": F.col("n_b")})
+    r = run.agg(F.max(F.abs(F.try_divide("ca", F.lit(t["a"])) - F.try_divide("cb", F.lit(t["b"])))).alias("d"))
+    r = r.select("d", F.lit(float(t["ka"] or 0)).alias("na"), F.lit(float(t["kb"] or 0)).alias("nb"))
+    critical = 1.358 * F.sqrt((F.col("na") + F.col("nb")) / (F.col("na") * F.col("nb")))
+    return r.select(F.round("d", 6).alias("statistic"), F.round(_ks_p("d", "na", "nb"), 6).alias("p_value"), F.round(F.col("d") / critical, 6).alias("effect"))
 
 
 def wasserstein(a: DataFrame, b: DataFrame, field: str, other: str | None = None) -> DataFrame:
     """One row: the integral of the difference of the two distribution functions."""
-    d = distributions(a, b, field, other)
-    w = Window.orderBy("v")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = d.agg(F.sum("n_a").alias("ta"), F.sum("n_b").alias("tb"))
-    g = d.select((F.lead("v").over(w) - F.col("v")).cast("double").alias("step"), F.sum("n_a").over(run).alias("ca"), F.sum("n_b").over(run).alias("cb")).crossJoin(F.broadcast(t))
-    return g.agg(F.round(F.coalesce(F.sum(F.col("step") * F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))), F.lit(0.0)), 6).alias("distance"))
+    return _gaps(distributions(a, b, field, other)).agg(F.round(F.coalesce(F.sum(F.col("step") * F.abs(F.col("ca") - F.col("cb"))), F.lit(0.0)), 6).alias("distance"))
 
 
 def statistical_fidelity(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -262,9 +293,8 @@ def inequality(df: DataFrame, key: str, top: int = 10) -> DataFrame:
     c = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").cast("double").alias("n"))
     # Counts are summed up by size first, so the ordered pass is over distinct sizes.
     by = c.groupBy("n").agg(F.count("*").cast("double").alias("m"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     t = by.agg(F.sum(F.col("n") * F.col("m")).alias("t"), F.sum("m").alias("k"))
-    r = by.select("n", "m", F.coalesce(F.sum("m").over(w), F.lit(0.0)).alias("below")).crossJoin(F.broadcast(t))
+    r = running_sums(by, [F.col("n")], {"upto": F.col("m")}).select("n", "m", (F.col("upto") - F.col("m")).alias("below")).crossJoin(F.broadcast(t))
     # Ranks of equal sizes are below + 1 .. below + m; their sum is m * (2 * below + m + 1) / 2.
     ranked = F.sum(F.col("n") * F.col("m") * (2 * F.col("below") + F.col("m") + 1) / 2)
     p = F.col("n") / F.col("t")
@@ -279,8 +309,7 @@ def inequality(df: DataFrame, key: str, top: int = 10) -> DataFrame:
 def lorenz(df: DataFrame, key: str, points: int = 10) -> DataFrame:
     """(share of keys, share of rows) at equal steps, interpolated linearly."""
     c = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").cast("double").alias("n")).groupBy("n").agg(F.count("*").cast("double").alias("m"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    r = c.select("n", "m", F.sum("m").over(w).alias("cm"), F.sum(F.col("n") * F.col("m")).over(w).alias("cn"))
+    r = running_sums(c, [F.col("n")], {"cm": F.col("m"), "cn": F.col("n") * F.col("m")})
     t = r.agg(F.max("cm").alias("k"), F.max("cn").alias("t"))
     at = r.sparkSession.range(points + 1).select((F.col("id") / points).alias("x"))
     # Inside a run of equal sizes the curve is a straight line.
@@ -357,3 +386,91 @@ def risk_bands(df: DataFrame, keys: Sequence[str], bounds: Sequence[int] = (2, 5
     for b in reversed(list(bounds)):
         band = F.when(F.col("k") < b, f"<{b}").otherwise(band)
     return group_sizes(df, keys).groupBy(band.alias("band")).agg(F.count("*").alias("groups"), F.sum("k").alias("records"))
+
+
+def generalization_loss(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: distinct values before and after, and the share of distinctions lost."""
+    def side(df: DataFrame, s: str) -> DataFrame:
+        cells = [F.struct(F.lit(f).alias("field"), F.count_distinct(F.col(f)).alias(s)).alias(f"__{i}") for i, f in enumerate(fields)]
+        return df.agg(*cells).select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(fields))])).alias("x")).select("x.*")
+
+    d0, d1 = F.col("distinct_before"), F.col("distinct_after")
+    loss = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(d0 - d1, d0 - 1), F.lit(0.0)))
+    return side(a, "distinct_before").join(side(b, "distinct_after"), "field").select("field", "distinct_before", "distinct_after", F.round(loss, 6).alias("loss"))
+
+
+def l_diversity_kl(a: DataFrame, b: DataFrame, keys: Sequence[str], sensitive: str, floor: float = 1e-10) -> DataFrame:
+    """One row: over the groups of ``b``, weighted by size, how far their sensitive values are from those of the whole of ``a`` (KL in nats)."""
+    whole = a.where(F.col(sensitive).isNotNull()).groupBy(sensitive).agg(F.count("*").alias("na"))
+    n_all = a.where(F.col(sensitive).isNotNull()).count() or 1
+    g = b.dropna(subset=[*keys, sensitive]).groupBy(*keys, sensitive).agg(F.count("*").alias("n"))
+    size = g.groupBy(*keys).agg(F.sum("n").alias("size"))
+    # Values that a group lacks add nothing.
+    j = g.join(size, list(keys)).join(whole, sensitive, "left")
+    p, q = F.col("n") / F.col("size"), F.greatest(F.coalesce(F.col("na") / F.lit(n_all), F.lit(0.0)), F.lit(floor))
+    return j.agg(F.round(F.sum(F.col("n") * F.log(p / q)) / F.sum("n"), 6).alias("kl"))
+
+
+def uniqueness_lt(df: DataFrame, keys: Sequence[str], sensitive: str, ls: Sequence[int] = (2, 3), t: float = 0.2) -> DataFrame:
+    """One row: percent of groups with fewer than each l sensitive values, and with a value whose share leaves the table's by more than ``t``."""
+    counts = df.dropna(subset=[*keys, sensitive]).groupBy(*keys, sensitive).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(sensitive).agg(F.sum("n").alias("all_n"))
+    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 1
+    size = counts.groupBy(*keys).agg(F.sum("n").alias("size"), F.count("*").alias("l"))
+    away = counts.join(size, list(keys)).join(whole, sensitive).groupBy(*keys).agg(F.max("l").alias("l"), F.max(F.abs(F.col("n") / F.col("size") - F.col("all_n") / total)).alias("away"))
+    return away.agg(F.count("*").alias("groups"), *[F.round(100 * F.avg((F.col("l") < n).cast("double")), 4).alias(f"below_l{n}") for n in ls], F.round(100 * F.avg((F.col("away") > t).cast("double")), 4).alias("beyond_t"))
+
+
+def pearson_columns(pairs: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row for each (before, after) pair of columns of paired rows: their correlation and mean absolute difference."""
+    cells = [F.struct(F.lit(a).alias("field"), F.round(F.corr(a, b), 6).alias("r"), F.round(F.avg(F.abs(F.col(a) - F.col(b))), 6).alias("mae")).alias(f"__{i}") for i, (a, b) in enumerate(fields)]
+    return pairs.agg(*cells).select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(fields))])).alias("x")).select("x.*")
+
+
+def dataset_quality(df: DataFrame, fields: Sequence[str], keys: Sequence[str] = (), valid: dict[str, Column] | None = None) -> DataFrame:
+    """One row: mean field score, consistency (share of rows that pass all rules) and uniqueness of ``keys``, in percent."""
+    mean = quality_score(df, fields, valid).agg(F.round(F.avg("score"), 4).alias("mean_score"))
+    every = F.lit(True)
+    for c in (valid or {}).values():
+        every = every & F.coalesce(c, F.lit(False))
+    rows = df.agg(F.round(100 * F.avg(every.cast("double")), 4).alias("consistency"), F.count("*").alias("__n"))
+    out = mean.crossJoin(rows)
+    if keys:
+        out = out.crossJoin(df.select(*keys).distinct().agg(F.count("*").alias("__d"))).withColumn("uniqueness", F.round(100 * F.col("__d") / F.col("__n"), 4)).drop("__d")
+    return out.drop("__n")
+
+
+def effectiveness(privacy_before: float, privacy_after: float, utility_after: float, weight: float = 0.5) -> float:
+    """``weight`` of the share of risk removed and the rest of the utility kept."""
+    gain = 0.0 if privacy_before <= 0 else max(0.0, min(1.0, (privacy_before - privacy_after) / privacy_before))
+    return weight * gain + (1 - weight) * utility_after
+
+
+#: Risk in percent from which each advice holds, most severe first.
+ADVICE = ((50.0, "critical", "suppress or generalize the quasi-identifiers further"), (20.0, "high", "raise k and suppress small groups"), (9.0, "moderate", "generalize the rarest values"), (0.0, "low", "release under the usual conditions"))
+
+
+def interpret(df: DataFrame, risk: str) -> DataFrame:
+    """Rows with the ``level`` and ``advice`` that their risk in percent asks for."""
+    level, advice = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for bound, name, text in reversed(ADVICE):
+        level, advice = F.when(F.col(risk) >= bound, name).otherwise(level), F.when(F.col(risk) >= bound, text).otherwise(advice)
+    return df.withColumn("level", level).withColumn("advice", advice)
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: the area under the ROC curve by ranks with ties halved; scores are counted before they are ordered."""
+    c = df.dropna(subset=[score, label]).groupBy(F.col(score).alias("v")).agg(F.sum(F.col(label).cast("long")).alias("yes"), F.sum(1 - F.col(label).cast("long")).alias("no"))
+    run = running_sums(c, [F.col("v")], {"below": F.col("no")})
+    r = run.agg(F.sum(F.col("yes") * (F.col("below") - F.col("no") / 2)).alias("u"), F.sum("yes").alias("p"), F.sum("no").alias("q"))
+    return r.select(F.round(F.try_divide("u", F.col("p") * F.col("q")), 6).alias("auc"))
+
+
+def field_types(df: DataFrame) -> DataFrame:
+    """(field, kind): numeric, date, boolean, text or other, from the schema."""
+    kinds = []
+    for f in df.schema:
+        name = f.dataType.typeName()
+        kind = "numeric" if name in ("byte", "short", "integer", "long", "float", "double") or name.startswith("decimal") else "date" if name.startswith(("date", "timestamp")) else name if name == "boolean" else "text" if name == "string" else "other"
+        kinds.append((f.name, kind))
+    return df.sparkSession.createDataFrame(kinds, "field string, kind string")

@@ -165,3 +165,28 @@ def group_information_loss(before: DataFrame, after: DataFrame, fields: Sequence
 
     both = side(before, "distinct_before").join(side(after, "distinct_after"), "field")
     return both.withColumn("lost", F.round(1 - F.try_divide(F.col("distinct_after"), F.col("distinct_before")), 6))
+
+
+def adaptive_k(df: DataFrame, keys: Sequence[str], k: int, own: DataFrame) -> DataFrame:
+    """Groups with size, the k asked of them (``own``: keys and k, else ``k``) and whether they have it."""
+    sizes = group_sizes(df, keys)
+    asked = own.select(*keys, F.col("k").alias("__asked"))
+    out = sizes.join(asked, list(keys), "left").withColumn("asked", F.coalesce("__asked", F.lit(k)))
+    return out.select(*keys, F.col("k").alias("size"), "asked", (F.col("k") >= F.col("asked")).alias("ok"))
+
+
+def high_risk_groups(df: DataFrame, keys: Sequence[str], sensitive: str, l: int) -> DataFrame:  # noqa: E741
+    """Groups with fewer than ``l`` sensitive values: size, distinct values, the commonest value's share."""
+    counts = sensitive_counts(df, keys, sensitive)
+    g = counts.groupBy(*keys).agg(F.sum("n").alias("size"), F.count("*").alias("distinct_l"), F.round(F.max("n") / F.sum("n"), 6).alias("top_share"))
+    return g.where(F.col("distinct_l") < l)
+
+
+def compare_attributes(df: DataFrame, keys: Sequence[str], sensitive: Sequence[str], l: int = 3) -> DataFrame:  # noqa: E741
+    """``attribute_risk`` of each sensitive attribute, with its rank by vulnerability, then name."""
+    parts = [attribute_risk(df, keys, s, l).select(F.lit(s).alias("attribute"), "*") for s in sensitive]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # One row an attribute.
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("vulnerability"), "attribute")))

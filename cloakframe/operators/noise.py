@@ -97,3 +97,54 @@ def suggested_range(df: DataFrame, field: str, snr: float = 10.0, kind: str = "u
     s = (r["s"] or 0.0) / math.sqrt(snr)
     width = {"uniform": s * math.sqrt(12), "laplace": s / math.sqrt(2), "normal": s}[kind]
     return width / abs(r["m"]) if multiply and r["m"] else width
+
+
+def keyed_uniform(key: Sequence[Column], seed: int) -> Column:
+    """From 0 to below 1 by a hash of the row's key: the same on every run, engine and partitioning."""
+    text = F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def keyed_noise(df: DataFrame, field: str, key: Sequence[str], kind: str = "uniform", width: float = 1.0, decimals: int | None = None, seed: int = 42, output: str | None = None) -> DataFrame:
+    """x + n, where n depends on the row's key alone.
+
+    kinds: uniform (from -width to width), laplace (scale width), normal (deviation width, by Box and Muller).
+    """
+    x, at = F.col(field).cast("double"), [F.col(k) for k in key]
+    u = keyed_uniform(at, seed)
+    if kind == "uniform":
+        n = (2 * u - 1) * width
+    elif kind == "laplace":
+        n = -width * F.signum(u - 0.5) * F.log(F.greatest(1 - 2 * F.abs(u - 0.5), F.lit(1e-15)))
+    elif kind == "normal":
+        n = width * F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-15)))) * F.cos(2 * math.pi * keyed_uniform(at, seed + 1))
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    return df.withColumn(output or field, x + n if decimals is None else F.round(x + n, decimals))
+
+
+def keyed_shift(df: DataFrame, field: str, key: Sequence[str], days: int, seed: int = 42, output: str | None = None) -> DataFrame:
+    """Times moved by whole days, from ``-days`` to ``days``, by the row's key alone."""
+    n = F.floor(keyed_uniform([F.col(k) for k in key], seed) * (2 * days + 1)) - days
+    return df.withColumn(output or field, (F.col(field) + F.make_dt_interval(n.cast("int"))).cast(df.schema[field].dataType))
+
+
+def noise_uniformity(df: DataFrame, before: str, after: str, width: float, bins: int = 10) -> DataFrame:
+    """One row: chi-square of the differences over ``bins`` equal bins from -width to width, and its distance from the mean in deviations."""
+    e = (F.col(after) - F.col(before)).cast("double")
+    at = F.least(F.greatest(F.floor((e + width) / (2 * width / bins)), F.lit(0)), F.lit(bins - 1))
+    c = df.where(e.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    # Empty bins add nothing but their expectation, so only the sum of squares is needed.
+    s = c.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s2"))
+    chi = F.col("s2") * bins / F.col("t") - F.col("t")
+    return s.select(F.col("t").cast("long").alias("n"), F.round(chi, 4).alias("chi2"), F.round((chi - (bins - 1)) / math.sqrt(2 * (bins - 1)), 4).alias("z"))
+
+
+def temporal_impact(df: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: rows, mean and greatest shift in days, shares whose weekday, month and weekend stay."""
+    x, y = F.col(before), F.col(after)
+    shift = (F.unix_micros(y.cast("timestamp")) - F.unix_micros(x.cast("timestamp"))) / 86_400_000_000
+    same = lambda f: F.round(F.avg((f(x) == f(y)).cast("double")), 6)
+    return df.where(x.isNotNull() & y.isNotNull()).agg(
+        F.count("*").alias("n"), F.round(F.avg(shift), 6).alias("mean_days"), F.round(F.max(F.abs(shift)), 6).alias("max_days"), same(F.weekday).alias("weekday_kept"), same(F.month).alias("month_kept"), same(lambda c: F.weekday(c) >= 5).alias("weekend_kept")
+    )

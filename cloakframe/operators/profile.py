@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .models import group_sizes
+from .ordered import running_sums
 
 
 def numeric_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -107,8 +108,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         n = rows.groupBy(c).agg(F.count("*").alias("n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        return n.select(c, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"r{c}"))
+        return running_sums(n, [F.col(c)], {"upto": F.col("n")}).select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
 
     return rows.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
@@ -251,3 +251,191 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     numeric = sum(isinstance(f.dataType, T.NumericType) for f in df.schema)
     missing = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
     return df.agg(F.count("*").alias("rows"), missing.alias("missing")).select("rows", F.lit(len(df.columns)).alias("columns"), "missing", F.lit(numeric).alias("numeric_columns"))
+
+
+def _exploded(df: DataFrame, cells: Sequence[Column]) -> DataFrame:
+    """One aggregate of structs as a row each."""
+    return df.agg(*[c.alias(f"__{i}") for i, c in enumerate(cells)]).select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(cells))])).alias("x")).select("x.*")
+
+
+def infer_types(df: DataFrame, fields: Sequence[str] | None = None, few: int = 10, share: float = 0.05, long_text: float = 100.0) -> DataFrame:
+    """(field, kind): categorical, numeric, date, boolean, mvf, long_text or text.
+
+    Whole numbers are categorical; other numbers too, with at most
+    min(``few``, ``share`` of the rows) distinct values.  Texts are mvf where
+    more than half are written as lists, long_text by mean length, else
+    categorical where at most half of the known values are distinct.
+    """
+    cells = []
+    for f in fields or df.columns:
+        kind, x = df.schema[f].dataType, F.col(f)
+        n, d = F.count(x), F.count_distinct(x)
+        if isinstance(kind, T.BooleanType):
+            name = F.lit("boolean")
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            name = F.lit("date")
+        elif isinstance(kind, T.IntegralType):
+            name = F.lit("categorical")
+        elif isinstance(kind, T.NumericType):
+            name = F.when(d <= F.least(F.lit(few), n * share), "categorical").otherwise("numeric")
+        else:
+            text = x.cast("string")
+            lists = F.avg(text.rlike(r"^\s*\[.*\]\s*$").cast("double"))
+            name = F.when(n == 0, "text").when(lists > 0.5, "mvf").when(F.avg(F.length(text)) > long_text, "long_text").when(d <= n * 0.5, "categorical").otherwise("text")
+        cells.append(F.struct(F.lit(f).alias("field"), name.alias("kind")))
+    return _exploded(df, cells)
+
+
+def entropy_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: known values, distinct ones, entropy in bits, normalized (by the logarithm of distinct values), uniqueness."""
+    out = None
+    for f in fields:
+        c = df.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("v")).agg(F.count("*").cast("double").alias("c"))
+        # Entropy from sums alone: log2 n - sum(c log2 c) / n.
+        r = c.agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+        h = F.log2("n") - F.col("s") / F.col("n")
+        r = r.select(F.lit(f).alias("field"), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"), F.col("d").alias("distinct_values"), F.round(h, 6).alias("entropy"), F.round(F.when(F.col("d") > 1, h / F.log2(F.col("d").cast("double"))).otherwise(0.0), 6).alias("normalized"), F.round(F.try_divide("d", "n"), 6).alias("uniqueness"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+#: Confidence of a role by name: whole words of the column's name, else parts of it.
+NAME_WORD, NAME_PART = 0.9, 0.7
+
+
+def resolve_roles(df: DataFrame, fields: Sequence[str], words: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """(field, by_name, name_confidence, by_statistics, role): a role by name from 0.7 on wins, else the role by uniqueness and entropy."""
+    words = words or ROLE_WORDS
+    e = entropy_profile(df, fields)
+    by_name, sure = F.lit(None).cast("string"), F.lit(0.0)
+    for f in fields:
+        parts = f.lower().split("_")
+        whole = next((r for r, ws in words.items() if any(w in parts for w in ws)), None)
+        part = next((r for r, ws in words.items() if any(w in f.lower() for w in ws)), None)
+        by_name = F.when(F.col("field") == f, F.lit(whole or part)).otherwise(by_name)
+        sure = F.when(F.col("field") == f, F.lit(NAME_WORD if whole else NAME_PART if part else 0.0)).otherwise(sure)
+    stat = F.when(F.col("uniqueness") > 0.9, "INDIRECT").when((F.col("uniqueness") > 0.2) | (F.col("entropy") > 4), "QUASI").otherwise("NON_SENSITIVE")
+    return e.select("field", by_name.alias("by_name"), sure.alias("name_confidence"), stat.alias("by_statistics"), F.when(sure >= 0.7, by_name).otherwise(stat).alias("role"))
+
+
+def outlier_counts(df: DataFrame, fields: Sequence[str], z: float = 3.0, modified: float = 3.5) -> DataFrame:
+    """A row for each field: values beyond ``z`` sample deviations, and those whose 0.6745 |x - median| / (1.4826 MAD) exceeds ``modified``."""
+    xs = {f: F.col(f).cast("double") for f in fields}
+    a = df.agg(*[c for i, x in enumerate(xs.values()) for c in (F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.median(x).alias(f"d{i}"))]).first()
+    away = {f: F.abs(x - F.lit(a[f"d{i}"])) for i, (f, x) in enumerate(xs.items())}
+    mad = df.agg(*[F.median(d).alias(f"a{i}") for i, d in enumerate(away.values())]).first()
+    cells = []
+    for i, (f, x) in enumerate(xs.items()):
+        zs = F.count_if(F.abs(x - F.lit(a[f"m{i}"])) / F.lit(a[f"s{i}"] or float("inf")) > z)
+        ms = F.count_if(0.6745 * away[f] / F.lit(1.4826 * mad[f"a{i}"] or float("inf")) > modified)
+        cells.append(F.struct(F.lit(f).alias("field"), zs.alias("z_outliers"), ms.alias("modified_z_outliers")))
+    return _exploded(df, cells)
+
+
+def normality(df: DataFrame, fields: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """A row for each field: skewness, excess kurtosis, the Jarque-Bera statistic over all values, its p-value, whether normality stands."""
+    cells = []
+    for f in fields:
+        x = F.col(f).cast("double")
+        s, k, n = F.skewness(x), F.kurtosis(x), F.count(x)
+        jb = n / 6.0 * (s * s + k * k / 4)
+        cells.append(F.struct(F.lit(f).alias("field"), n.alias("n"), F.round(s, 6).alias("skewness"), F.round(k, 6).alias("kurtosis"), F.round(jb, 4).alias("statistic"), F.round(F.exp(-jb / 2), 6).alias("p_value"), (F.exp(-jb / 2) > alpha).alias("normal")))
+    return _exploded(df, cells)
+
+
+def significant_pairs(df: DataFrame, fields: Sequence[str], least: float = 0.7, nulls: str = "pairwise", fill: float = 0.0) -> DataFrame:
+    """(a, b, r, n, t): pairs of fields correlated by ``least`` or more either way, with the t statistic.
+
+    nulls: ``pairwise`` (rows where both are known), ``drop`` (rows where all are), ``fill`` (nulls become ``fill``).
+    """
+    if nulls == "drop":
+        df = df.dropna(subset=list(fields))
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(fill)) if nulls == "fill" else F.col(f).cast("double") for f in fields}
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(x[a], x[b]).alias("r"), F.count_if(x[a].isNotNull() & x[b].isNotNull()).alias("n")) for a, b in combinations(fields, 2)]
+    r = F.col("r")
+    t = r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r))
+    return _exploded(df, cells).where(F.abs(r) >= least).select("a", "b", F.round("r", 6).alias("r"), "n", F.round(t, 4).alias("t"))
+
+
+def point_biserial(df: DataFrame, flag: Column, field: str) -> DataFrame:
+    """One row: the correlation of a condition with a number."""
+    return df.agg(F.round(F.corr(flag.cast("double"), F.col(field).cast("double")), 6).alias("r"))
+
+
+def k_histogram(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(k, groups, records): how many groups have each size."""
+    return group_sizes(df, keys).groupBy("k").agg(F.count("*").alias("groups"), F.sum("k").alias("records"))
+
+
+def date_changes(df: DataFrame, key: str, field: str) -> DataFrame:
+    """One row: groups, those with several days, and the greatest span in days."""
+    day = F.to_date(field)
+    g = df.dropna(subset=[key, field]).groupBy(key).agg(F.count_distinct(day).alias("d"), F.datediff(F.max(day), F.min(day)).alias("span"))
+    return g.agg(F.count("*").alias("groups"), F.count_if(F.col("d") > 1).alias("changing"), F.max("span").alias("longest"))
+
+
+def ages(df: DataFrame, field: str, today: str, output: str = "age") -> DataFrame:
+    """Whole years up to ``today`` added to the rows; null where the date is later."""
+    months = F.months_between(F.lit(today).cast("date"), F.to_date(field))
+    return df.withColumn(output, F.when(months >= 0, F.floor(months / 12).cast("int")))
+
+
+def phone_dictionary(df: DataFrame, field: str) -> DataFrame:
+    """(country, area, n): country codes after a plus and the three digits that follow, of valid numbers; blank where there is none."""
+    x = F.col(field).cast("string")
+    ok = F.length(F.regexp_replace(x, r"\D", "")).between(7, 15) & x.rlike(r"^[+\d\s().-]+$")
+    country = F.regexp_extract(x, r"^\+(\d{1,3})(?=\D)", 1)
+    area = F.regexp_extract(F.regexp_replace(x, r"^\+\d{1,3}(?=\D)", ""), r"^\D*(\d{3})", 1)
+    return df.where(ok).groupBy(country.alias("country"), area.alias("area")).agg(F.count("*").alias("n"))
+
+
+def mvf_combinations(df: DataFrame, values: Column) -> DataFrame:
+    """(combination, size, n): sets of values that occur together, in order."""
+    c = F.array_join(F.array_sort(F.array_distinct(values)), " | ")
+    return df.where(values.isNotNull()).groupBy(c.alias("combination")).agg(F.max(F.size(F.array_distinct(values))).alias("size"), F.count("*").alias("n"))
+
+
+def mvf_sizes(df: DataFrame, values: Column) -> DataFrame:
+    """(size, n): rows by the number of their values; null counts as none."""
+    return df.groupBy(F.coalesce(F.when(values.isNotNull(), F.size(values)), F.lit(0)).alias("size")).agg(F.count("*").alias("n"))
+
+
+def group_variation(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: mean over groups of (distinct - 1) / (rows - 1), weighted by rows too; groups of one row vary by nothing."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), *[F.count_distinct(f).alias(f"d{i}") for i, f in enumerate(fields)])
+    v = lambda i: F.when(F.col("__n") > 1, F.greatest(F.col(f"d{i}") - 1, F.lit(0)) / (F.col("__n") - 1)).otherwise(0.0)
+    return _exploded(g, [F.struct(F.lit(f).alias("field"), F.round(F.avg(v(i)), 6).alias("variation"), F.round(F.sum(v(i) * F.col("__n")) / F.sum("__n"), 6).alias("weighted")) for i, f in enumerate(fields)])
+
+
+def change_frequency(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """A row for each field: steps from row to row of a group, and the share of them that change the field."""
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.where(F.col(key).isNotNull()).select(F.row_number().over(w).alias("__at"), *[(~F.col(f).eqNullSafe(F.lag(f).over(w))).alias(f"c{i}") for i, f in enumerate(fields)]).where("__at > 1")
+    return _exploded(rows, [F.struct(F.lit(f).alias("field"), F.count("*").alias("steps"), F.round(F.avg(F.col(f"c{i}").cast("double")), 6).alias("changing")) for i, f in enumerate(fields)])
+
+
+def cross_groups(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row: value combinations of the fields, those in several groups, and how many groups they join at most."""
+    g = df.dropna(subset=[key]).groupBy(*fields).agg(F.count_distinct(key).alias("g"))
+    return g.agg(F.count("*").alias("combinations"), F.count_if(F.col("g") > 1).alias("shared"), F.max("g").alias("most_groups"))
+
+
+def collapsibility(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row: groups of several rows, those in which no field varies, and the rows saved by making one of each."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*fields)).alias("d")).where("n > 1")
+    return g.agg(F.count("*").alias("groups"), F.count_if(F.col("d") == 1).alias("collapsible"), F.coalesce(F.sum(F.when(F.col("d") == 1, F.col("n") - 1)), F.lit(0)).alias("rows_saved"))
+
+
+def identity_consistency(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: keys of several rows, and the share of them for which the field has one value."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), *[F.count_distinct(f).alias(f"d{i}") for i, f in enumerate(fields)]).where("__n > 1")
+    return _exploded(g, [F.struct(F.lit(f).alias("field"), F.count("*").alias("keys"), F.round(F.avg((F.col(f"d{i}") <= 1).cast("double")), 6).alias("consistent")) for i, f in enumerate(fields)])
+
+
+def field_level(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field: type, known values, nulls in percent, distinct values, and the least and greatest as text."""
+    cells = [
+        F.struct(F.lit(f).alias("field"), F.lit(df.schema[f].dataType.simpleString()).alias("type"), F.count(f).alias("n"), F.round(100 * F.avg(F.col(f).isNull().cast("double")), 4).alias("null_pct"), F.count_distinct(f).alias("distinct_values"), F.min(f).cast("string").alias("least"), F.max(f).cast("string").alias("greatest"))
+        for f in fields
+    ]
+    return _exploded(df, cells)

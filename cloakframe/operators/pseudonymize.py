@@ -8,10 +8,11 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .conditions import composite_key
+from .ordered import places
 
 # The alphabet of base 58.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -66,18 +67,18 @@ def hmac_pseudonym(df: DataFrame, field: str, key: bytes, domain: str = "", outp
 
 
 def sequential_map(df: DataFrame, field: str, known: DataFrame | None = None, prefix: str = "ID", digits: int = 6) -> DataFrame:
-    """(original, pseudonym): known pairs stay, new values are numbered on in their order.
+    """(original, pseudonym): known pairs stay, new values are numbered on, in their order, from the greatest known number.
 
-    Numbers need one order of all new distinct values, kept in one task; use
-    ``hashed_map`` where there are very many.
+    Numbers are padded to ``digits`` digits and grow beyond them.
     """
     values = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("original")).distinct()
     start = 0
     if known is not None:
-        start = known.count()
+        start = known.agg(F.max(F.regexp_extract("pseudonym", r"([0-9]+)$", 1).try_cast("long")).alias("n")).first()["n"] or 0
         values = values.join(known, "original", "left_anti")
-    number = F.row_number().over(Window.orderBy("original")) + start
-    new = values.select("original", F.concat(F.lit(f"{prefix}_" if prefix else ""), F.lpad(number.cast("string"), digits, "0")).alias("pseudonym"))
+    numbered = places(values, [F.col("original")], "number").select("original", (F.col("number") + start).cast("string").alias("number"))
+    number = F.when(F.length("number") < digits, F.lpad("number", digits, "0")).otherwise(F.col("number"))
+    new = numbered.select("original", F.concat(F.lit(f"{prefix}_" if prefix else ""), number).alias("pseudonym"))
     return new if known is None else known.select("original", "pseudonym").unionByName(new)
 
 
@@ -125,3 +126,22 @@ def collision_probability(n: int, bits: int) -> float:
 
 def collisions(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("pseudonym").agg(F.count_distinct("original").alias("originals")).where("originals > 1")
+
+
+def save_salts(spark, salts: dict[str, str], path: str, key: bytes) -> None:
+    """A salt for each field, encrypted by AES-GCM."""
+    rows = spark.createDataFrame(sorted(salts.items()), "field string, salt string")
+    rows.select("field", F.aes_encrypt(F.col("salt").cast("binary"), F.lit(key)).alias("salt")).write.mode("overwrite").parquet(path)
+
+
+def load_salts(spark, path: str, key: bytes) -> dict[str, str]:
+    rows = spark.read.parquet(path).select("field", F.aes_decrypt("salt", F.lit(key)).cast("string").alias("salt")).collect()
+    return {r["field"]: r["salt"] for r in rows}
+
+
+def salted_pseudonyms(df: DataFrame, salts: dict[str, str], pepper: str = "") -> DataFrame:
+    """Each field hashed with a salt of its own and one pepper (HMAC-SHA-256 under the pepper, if there is one)."""
+    for f, salt in salts.items():
+        text = F.concat(F.col(f).cast("string"), F.lit(salt))
+        df = df.withColumn(f, hmac_sha256(text, pepper.encode()) if pepper else F.sha2(text.cast("binary"), 256))
+    return df

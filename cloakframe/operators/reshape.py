@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import places
+
 
 # ---- joins
 
@@ -152,7 +154,12 @@ def partition_number(df: DataFrame, field: str, parts: int, method: str = "modul
     """
     if method == "equal_size":
         ids = df.select(F.col(field).alias("__id")).distinct()
-        numbered = ids.withColumn("__part", F.ntile(parts).over(Window.orderBy("__id")) - 1)
+        n = ids.count()
+        base, extra = divmod(n, parts)
+        at, large = F.col("__at") - 1, extra * (base + 1)
+        # The first parts have one more.
+        tile = F.when(at < large, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - large) / max(base, 1)))
+        numbered = places(ids, [F.col("__id")], "__at").select("__id", tile.cast("int").alias("__part"))
         return df.join(numbered, df[field].eqNullSafe(numbered["__id"])).select(*df.columns, F.col("__part").alias(output))
     if method == "modulo":
         kind = df.schema[field].dataType.typeName()
@@ -260,3 +267,57 @@ def compare_datasets(before: DataFrame, after: DataFrame) -> DataFrame:
 
     out = side(before, "before").crossJoin(side(after, "after"))
     return out.select("*", (F.col("rows_after") - F.col("rows_before")).alias("rows_delta"), (F.col("nulls_after") - F.col("nulls_before")).alias("nulls_delta"))
+
+
+def handle_nulls(df: DataFrame, fields: Sequence[str], strategy: str = "preserve", value: Any = None) -> DataFrame:
+    """preserve; exclude rows with a null; fill with ``value``; flag (adds ``<field>_is_null``)."""
+    if strategy == "exclude":
+        return df.dropna(subset=list(fields))
+    if strategy == "fill":
+        return df.withColumns({f: F.coalesce(F.col(f), F.lit(value).cast(df.schema[f].dataType)) for f in fields})
+    if strategy == "flag":
+        return df.withColumns({f"{f}_is_null": F.col(f).isNull() for f in fields})
+    if strategy != "preserve":
+        raise ValueError(f"unknown strategy {strategy}")
+    return df
+
+
+def to_number(df: DataFrame, field: str, kind: str = "double", default: Any = None, output: str | None = None) -> DataFrame:
+    """Texts that are no number become ``default`` instead of an error."""
+    return df.withColumn(output or field, F.coalesce(F.trim(F.col(field).cast("string")).try_cast(kind), F.lit(default).cast(kind)))
+
+
+def lag_difference(df: DataFrame, field: str, by: Sequence[str], output: str = "step") -> DataFrame:
+    """The difference to the row before in each group, in seconds for times."""
+    x = F.col(field)
+    if df.schema[field].dataType.typeName().startswith(("timestamp", "date")):
+        x = F.unix_micros(x.cast("timestamp")) / 1_000_000
+    return df.withColumn(output, x - F.lag(x).over(Window.partitionBy(*by).orderBy(field)))
+
+
+def sampling_interval(df: DataFrame, field: str, by: Sequence[str]) -> DataFrame:
+    """One row: the commonest step between rows of a group (the smallest on ties) and the share of steps that have it."""
+    steps = lag_difference(df, field, by, "__step").where(F.col("__step").isNotNull()).groupBy("__step").agg(F.count("*").alias("n"))
+    return steps.agg(F.max_by("__step", F.struct("n", -F.col("__step"))).alias("interval"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+
+
+def one_hot(df: DataFrame, field: str, values: Sequence[Any], drop_first: bool = False) -> DataFrame:
+    """A 0/1 column ``<field>_<value>`` for each listed value; others and nulls have zeros."""
+    return df.withColumns({f"{field}_{v}": F.coalesce((F.col(field) == F.lit(v)).cast("int"), F.lit(0)) for v in list(values)[int(drop_first) :]}).drop(field)
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+    """The row with the greatest ``order`` of each key, on ties with the smallest ``ties``; an aggregate, so no key's rows are sorted."""
+    flat = F.struct(*df.columns)
+    best = df.groupBy(*keys).agg(F.max_by(flat, F.struct(F.col(order), *[-F.col(t) for t in ties])).alias("__r"))
+    return best.select("__r.*")
+
+
+def join_types(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(kind, rows): rows that an inner, left, right and full join would have, from key counts alone."""
+    count = lambda df, n: df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias(n))
+    j = count(a, "x").join(count(b, "y"), "k", "full").select(F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    inner, left, right = F.sum(F.col("x") * F.col("y")), F.sum(F.when(F.col("y") == 0, F.col("x")).otherwise(0)), F.sum(F.when(F.col("x") == 0, F.col("y")).otherwise(0))
+    s = j.agg(inner.alias("inner"), (inner + left).alias("left"), (inner + right).alias("right"), (inner + left + right).alias("full"))
+    kinds = ("inner", "left", "right", "full")
+    return s.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*kinds))).alias("kind", "rows"))

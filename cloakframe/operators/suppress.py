@@ -89,3 +89,9 @@ def suppress_cells(
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return df.withColumn(output or field, F.when(F.col("__hit"), new).otherwise(x)).drop("__hit", "__g", "__mode", "__rows")
+
+
+def suppression_report(df: DataFrame, masks: dict[str, Column]) -> DataFrame:
+    """A row for each reason: rows it suppresses, and their share, in one scan."""
+    cells = [F.struct(F.lit(r).alias("reason"), F.count_if(F.coalesce(m, F.lit(False))).alias("rows"), F.round(F.avg(F.coalesce(m, F.lit(False)).cast("double")), 6).alias("share")).alias(f"__{i}") for i, (r, m) in enumerate(masks.items())]
+    return df.agg(*cells).select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(masks))])).alias("x")).select("x.*")

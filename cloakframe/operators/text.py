@@ -215,3 +215,128 @@ def closest_match(df: DataFrame, field: str, options: Sequence[str], threshold:
     scored = F.array(*[F.struct((-similarity(F.lower(F.col(field)), F.lit(o.lower()))).alias("s"), F.lit(i).alias("i"), F.lit(o).alias("o")) for i, o in enumerate(options)])
     best = F.array_min(scored)
     return df.withColumn(output, F.when(-best["s"] >= threshold, best["o"]))
+
+
+# Words too common to tell texts apart, by language.
+STOP_WORDS = {
+    "en": ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"),
+    "fr": ("au", "aux", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "ou", "par", "pour", "que", "qui", "sur", "un", "une"),
+    "de": ("als", "am", "an", "auf", "aus", "das", "dem", "den", "der", "des", "die", "ein", "eine", "er", "es", "im", "in", "ist", "mit", "nicht", "sie", "und", "von", "zu"),
+    "es": ("al", "como", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "o", "para", "por", "que", "se", "su", "un", "una", "y"),
+}
+#: Levels of normalization, each with what the one before it does: trimmed, lower case, single spaces; punctuation gone; digits gone.
+LEVELS = ("none", "basic", "advanced", "aggressive")
+
+
+def normalize_text(col: Column, level: str = "basic") -> Column:
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {LEVELS}")
+    x = col
+    if level != "none":
+        x = F.lower(x)
+    if level in ("advanced", "aggressive"):
+        x = F.regexp_replace(x, r"[^\p{L}\p{N}\s]+", " ")
+    if level == "aggressive":
+        x = F.regexp_replace(x, r"\p{N}+", " ")
+    return x if level == "none" else F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def without_stop_words(col: Column, languages: Sequence[str] = ("en",), more: Sequence[str] = ()) -> Column:
+    """Words of a text that are no stop word of the languages."""
+    stop = sorted({w for k in languages for w in STOP_WORDS[k]} | set(more))
+    return F.array_except(words(col), F.array(*[F.lit(w) for w in stop])) if not stop else F.filter(words(col), lambda w: ~w.isin(stop))
+
+
+def lemmatize(df: DataFrame, id_field: str, field: str, lemmas: DataFrame) -> DataFrame:
+    """(id, lemmas): words in their order, those of the dictionary (word, lemma) by their lemma."""
+    w = df.select(F.col(id_field), F.posexplode(words(F.col(field))).alias("at", "word"))
+    found = w.join(lemmas.select("word", "lemma").dropDuplicates(["word"]), "word", "left").groupBy(id_field).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("lemma", "word").alias("w")))).alias("x"))
+    return found.select(id_field, F.col("x.w").alias("lemmas"))
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Common words of two texts by all of them."""
+    return jaccard(F.array_distinct(words(a)), F.array_distinct(words(b)))
+
+
+def partial_similarity(a: Column, b: Column) -> Column:
+    """1 where one text holds the other, else the similarity by edit distance."""
+    x, y = F.lower(a), F.lower(b)
+    return F.when((F.length(x) > 0) & (F.length(y) > 0) & (x.contains(y) | y.contains(x)), 1.0).otherwise(similarity(x, y))
+
+
+def character_shingles(col: Column, n: int = 3) -> Column:
+    """Distinct runs of ``n`` characters of the lower-case text; a shorter text is one run."""
+    x = F.lower(col)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+
+def key_phrases(df: DataFrame, id_field: str, field: str, languages: Sequence[str] = ("en",), least: int = 2, most: int = 4) -> DataFrame:
+    """(id, phrase, words, n): runs of ``least`` to ``most`` words between stop words and marks, with their number in the text."""
+    stop = sorted({w for k in languages for w in STOP_WORDS[k]})
+    cut = F.regexp_replace(F.lower(F.col(field)), r"[^\p{L}\p{N}\s]+", "|")
+    marked = F.regexp_replace(F.regexp_replace(cut, r"\s+", "  "), rf"(^|[\s|])({'|'.join(stop)})(?=$|[\s|])", "$1|")
+    p = df.select(id_field, F.explode(F.split(marked, r"\|")).alias("p")).select(id_field, F.trim(F.regexp_replace("p", r"\s+", " ")).alias("phrase"))
+    p = p.withColumn("words", F.size(F.split("phrase", " "))).where((F.col("phrase") != "") & F.col("words").between(least, most))
+    return p.groupBy(id_field, "phrase", "words").agg(F.count("*").alias("n"))
+
+
+def msttr(df: DataFrame, id_field: str, field: str, segment: int = 50) -> DataFrame:
+    """(id, segments, msttr): the mean type-token ratio of whole segments of words; null for shorter texts."""
+    w = df.select(id_field, words(F.col(field)).alias("w"))
+    n = F.floor(F.size("w") / segment).cast("int")
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.size(F.array_distinct(F.slice("w", k * segment + 1, F.lit(segment)))) / segment))
+    return w.select(id_field, F.coalesce(n, F.lit(0)).alias("segments"), F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / n, 6).alias("msttr"))
+
+
+def sentiment(df: DataFrame, id_field: str, field: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
+    """(id, positive, negative, score): words of two lists, and their difference by their sum."""
+    w = words(F.col(field))
+    many = lambda ws: F.size(F.filter(w, lambda x: x.isin(list(ws))))
+    p, n = many(positive), many(negative)
+    return df.select(id_field, p.alias("positive"), n.alias("negative")).withColumn("score", F.round(F.coalesce(F.try_divide(F.col("positive") - F.col("negative"), F.col("positive") + F.col("negative")), F.lit(0.0)), 6))
+
+
+def categorize_texts(df: DataFrame, field: str, entries: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(value, category, how): each distinct value by the dictionary (keyword, category, level), else by what it looks like, else unresolved.
+
+    A value holds a keyword as a run of characters; the deepest level, then
+    the longest keyword, wins.  The dictionary is small: its size is checked.
+    """
+    if entries.count() > 10_000:
+        raise ValueError("more entries than every value is compared with; use dictionary_match")
+    values = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("value")).distinct()
+    held = values.join(F.broadcast(entries), F.lower("value").contains(F.lower("keyword")))
+    best = held.groupBy("value").agg(F.max_by("category", F.struct("level", F.length("keyword"), "keyword")).alias("c"))
+    look = F.lit(None).cast("string")
+    for kind, p in reversed((patterns or ENTITY_PATTERNS).items()):
+        look = F.when(F.col("value").rlike(p), kind).otherwise(look)
+    out = values.join(best, "value", "left").withColumn("look", look)
+    return out.select("value", F.coalesce("c", "look", F.lit("unresolved")).alias("category"), F.when(F.col("c").isNotNull(), "dictionary").when(F.col("look").isNotNull(), "pattern").otherwise("none").alias("how"))
+
+
+def unprocessed(df: DataFrame, field: str, marker: str = "~") -> DataFrame:
+    """Rows whose text does not carry the marker of work already done; nulls have nothing to do."""
+    return df.where(F.col(field).isNotNull() & ~F.col(field).startswith(marker))
+
+
+def mark_processed(col: Column, marker: str = "~") -> Column:
+    return F.when(col.startswith(marker), col).otherwise(F.concat(F.lit(marker), col))
+
+
+def tf_idf(df: DataFrame, id_field: str, fields: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
+    """(id, token, weight): ``field:value`` tokens weighted by ln((1 + n) / (1 + df)) + 1, the weights of a row of length one.
+
+    ``fit`` (else the rows themselves) tells n and df; tokens that it lacks are left out.
+    """
+    def tokens(rows: DataFrame) -> DataFrame:
+        parts = F.array(*[F.concat(F.lit(f"{f}:"), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])
+        return rows.select(id_field, F.explode(parts).alias("token")).groupBy(id_field, "token").agg(F.count("*").alias("tf"))
+
+    base = df if fit is None else fit
+    n = base.count()
+    known = tokens(base).groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tokens(df).join(known, "token").select(id_field, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    size = w.groupBy(id_field).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return w.join(size, id_field).select(id_field, "token", F.round(F.col("w") / F.col("size"), 6).alias("weight"))

@@ -987,3 +987,6 @@ def model_membership(t):
 def noise_impact(t):
     out = noise.uniform_numeric_noise(t("events"), "value", 1.0, output="noisy")
     return noise.noise_impact(out, "value", "noisy")
+
+
+from . import wider  # noqa: E402, F401  (registers its queries)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import hashlib
 import json
 from collections.abc import Sequence
 from functools import reduce
@@ -75,7 +74,7 @@ def stack(tables: Sequence[DataFrame], all_columns: bool = False) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer), the same each time: those whose key hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def read_oriented_json(spark: SparkSession, path: str, orient: str, schema: str) -> DataFrame:
@@ -95,12 +94,81 @@ def read_oriented_json(spark: SparkSession, path: str, orient: str, schema: str)
     return keys.select(*[F.try_element_at(F.col("o")[f.name], F.col("k")).alias(f.name) for f in fields])
 
 
-def checksum(path: str) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def _opened(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+
+
+def checksum(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file in any store that Spark opens, read as a stream."""
+    stream = _opened(spark, path)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def encoding_of(spark: SparkSession, path: str, head: int = 65_536) -> str:
+    """By the byte order mark, else whether the first bytes are UTF-8, else Windows-1252."""
+    stream = _opened(spark, path)
+    try:
+        raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, head)))
+    finally:
+        stream.close()
+    for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
+        if raw.startswith(mark):
+            return name
+    try:
+        raw[: len(raw) - 3].decode("utf-8") if len(raw) == head else raw.decode("utf-8")
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "windows-1252"
+
+
+def file_batches(spark: SparkSession, paths: Sequence[str], most_bytes: int) -> list[list[str]]:
+    """Files in their order, in batches of at most ``most_bytes`` (one file at least)."""
+    out: list[list[str]] = []
+    room = 0
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+        if not out or size > room:
+            out.append([])
+            room = most_bytes
+        out[-1].append(path)
+        room -= size
+    return out
+
+
+def pick_columns(df: DataFrame, columns: Sequence[str], strict: bool = True) -> DataFrame:
+    """Those columns; missing ones are an error, or are left out unless ``strict``."""
+    missing = [c for c in columns if c not in df.columns]
+    if strict and missing:
+        raise ValueError(f"no such columns: {missing}")
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def merge_json(df: DataFrame, old: str | None, new: str, keys: Sequence[str]) -> None:
+    """JSON lines of the table at ``old`` with the rows of ``df`` in place of those with equal keys, written to ``new``.
+
+    Without ``old``, the rows of ``df`` alone.  Plain appending is ``write`` with mode ``append``.
+    """
+    rows = df
+    if old is not None:
+        before = df.sparkSession.read.schema(df.schema).json(old)
+        rows = before.join(df.select(*keys), list(keys), "left_anti").select(*df.columns).unionByName(df)
+    rows.write.json(new)
+
+
+def encrypt_files(spark: SparkSession, paths: str | Sequence[str], out: str, key: bytes) -> None:
+    """Whole files by AES-GCM, a row for each: name, size, content.  A file must fit a cell (2 GB)."""
+    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
+    files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.aes_encrypt("content", F.lit(key)).alias("content")).write.parquet(out)
+
+
+def decrypt_files(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """(name, size, content) of files that ``encrypt_files`` wrote."""
+    return spark.read.parquet(path).withColumn("content", F.aes_decrypt("content", F.lit(key)))
 
 
 def write_task_output(df: DataFrame, folder: str, name: str, metrics: dict | None = None) -> dict:
