@@ -14,7 +14,7 @@ def test_running_sums(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, n long")
     for ranges in (1, 7, 64):
-        got = {r.k: (r.upto, r.__getattr__("__next")) for r in running_sums(df, [F.col("k")], {"upto": F.col("n")}, following=F.col("k"), ranges=ranges).collect()}
+        got = {r.k: (r.upto, r["__next"]) for r in running_sums(df, [F.col("k")], {"upto": F.col("n")}, following=F.col("k"), ranges=ranges).collect()}
         total, ordered = 0, sorted(rows)
         for i, (k, n) in enumerate(ordered):
             total += n
