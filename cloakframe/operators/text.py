@@ -50,30 +50,37 @@ def ngram_counts(df: DataFrame, field: str, n: int = 2, least: int = 2) -> DataF
     return grams.groupBy(F.concat_ws(" ", *[F.col(f"g.g{k}") for k in range(n)]).alias("ngram")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+#: Hashes are taken modulo a prime below 2**31, so products fit a long; a gram's words are digits of a number to this base.
+HASH_PRIME, GRAM_FACTOR = 2**31 - 1, 1_000_003
+
+
 def minhash(col: Column, seeds: int = 128, n: int = 3) -> Column:
-    """Least hash of the word n-grams for each seed; shorter texts are one gram of all their words, without words all is the greatest long."""
-    mixers = np.random.default_rng(7).integers(1, 2**63, (2, seeds), np.uint64) | np.uint64(1)
+    """Least hash of the word n-grams for each seed; shorter texts are one gram of all their words, without words all is the prime itself.
+
+    A word counts as the first 31 bits of its MD5; seed s maps a gram x to
+    (7919 s + 104729) x + 15485863 s modulo the prime.
+    """
+    s = np.arange(1, seeds + 1, dtype=np.int64)
+    factor, shift = s * 7919 + 104_729, s * 15_485_863
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(words: pd.Series) -> pd.Series:
         def least(x: np.ndarray | None) -> np.ndarray | None:
             if x is None:
                 return None
-            out = np.full(seeds, np.iinfo(np.int64).max)
-            x = np.array(x, np.int64).view(np.uint64)
+            out = np.full(seeds, HASH_PRIME, np.int64)
+            x = np.array(x, np.int64) % HASH_PRIME
             k = min(n, len(x))
             grams = x[: len(x) - k + 1]
             for j in range(1, k):
-                grams = grams * np.uint64(0x9E3779B97F4A7C15) + x[j : len(x) - k + 1 + j]
+                grams = (grams * GRAM_FACTOR + x[j : len(x) - k + 1 + j]) % HASH_PRIME
             for i in range(0, len(grams) if k else 0, 4096):
-                h = (grams[i : i + 4096][None] ^ mixers[0][:, None]) * mixers[1][:, None]
-                h = (h ^ (h >> np.uint64(32))) * mixers[1][:, None]
-                out = np.minimum(out, (h >> np.uint64(1)).min(1).astype(np.int64))
+                out = np.minimum(out, ((grams[i : i + 4096][None] * factor[:, None] + shift[:, None]) % HASH_PRIME).min(1))
             return out
 
         return words.map(least)
 
-    return signature(F.transform(words(col), lambda w: F.xxhash64(w)))
+    return signature(F.transform(words(col), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long").bitwiseAND(2**31 - 1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -340,3 +347,23 @@ def tf_idf(df: DataFrame, id_field: str, fields: Sequence[str], fit: DataFrame |
     w = tokens(df).join(known, "token").select(id_field, "token", (F.col("tf") * F.col("idf")).alias("w"))
     size = w.groupBy(id_field).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return w.join(size, id_field).select(id_field, "token", F.round(F.col("w") / F.col("size"), 6).alias("weight"))
+
+
+# Words that name entities, by kind; callers bring their own lists.
+ENTITY_WORDS = {
+    "job": ("engineer", "manager", "director", "analyst", "developer", "nurse", "teacher", "accountant", "lawyer", "clerk"),
+    "organization": ("inc", "ltd", "gmbh", "corp", "university", "bank", "hospital", "ministry", "institute", "company"),
+    "skill": ("python", "sql", "java", "excel", "accounting", "design", "marketing", "statistics", "negotiation", "leadership"),
+    "transaction": ("payment", "transfer", "deposit", "withdrawal", "refund", "invoice", "purchase", "loan", "salary", "fee"),
+}
+
+
+def named_entities(df: DataFrame, id_field: str, field: str, kinds: dict[str, Sequence[str]] | None = None, context: int = 1) -> DataFrame:
+    """(id, kind, word, phrase, n): listed words of a text with up to ``context`` words before them, in one pass."""
+    listed = kinds or ENTITY_WORDS
+    table = F.create_map(*[x for kind, ws in sorted(listed.items()) for w in ws for x in (F.lit(w), F.lit(kind))])
+    w = df.select(id_field, words(F.col(field)).alias("w"))
+    at = w.select(id_field, "w", F.posexplode("w").alias("i", "word")).withColumn("kind", F.try_element_at(table, F.col("word"))).where("kind is not null")
+    first = F.greatest(F.col("i") - context, F.lit(0))
+    phrase = F.array_join(F.slice("w", first + 1, F.col("i") - first + 1), " ")
+    return at.groupBy(id_field, "kind", "word", phrase.alias("phrase")).agg(F.count("*").alias("n"))

@@ -518,43 +518,13 @@ def link_exact(t):
     return attacks.record_linkage(a, b).groupBy("c_custkey").agg(F.count("*").alias("matches"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 3 = 0 AND p_size < 10)
-SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, round((jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2, 6) AS score FROM a JOIN b ON a.p_name = b.p_name OR a.p_brand = b.p_brand
-WHERE (jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2 >= 0.85""")
-def link_probabilistic(t):
-    p = t("part")
-    return attacks.probabilistic_linkage(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0 AND p_size < 10"), "p_partkey", "p_partkey", ["p_name", "p_brand"])
-
-
-_NEAR = """WITH q AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 10 = 0), d AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 10 <> 0),
-s AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM d)"""
-
-
-@query(_NEAR + " SELECT p_partkey, round(min(sqrt(((q.x - d.x) / sx) ** 2 + ((q.y - d.y) / sy) ** 2)), 6) AS dcr FROM q, d, s GROUP BY 1")
-def dcr(t):
-    p = t("part")
-    return attacks.dcr(p.where("p_partkey % 10 = 0"), p.where("p_partkey % 10 <> 0"), "p_partkey", ["p_size", "p_retailprice"])
-
-
-@query(_NEAR + """, r AS (SELECT p_partkey, list_sort(list(sqrt(((q.x - d.x) / sx) ** 2 + ((q.y - d.y) / sy) ** 2))) AS l FROM q, d, s GROUP BY 1) SELECT p_partkey, round(round(l[1], 6) / (round(l[2], 6) + 1e-10), 6) AS nndr FROM r""")
-def nndr(t):
-    p = t("part")
-    return attacks.nndr(p.where("p_partkey % 10 = 0"), p.where("p_partkey % 10 <> 0"), "p_partkey", ["p_size", "p_retailprice"], scale=True)
-
-
-@query(_NEAR + """, r AS (SELECT p_partkey, round(min(sqrt(((q.x - d.x) / sx) ** 2 + ((q.y - d.y) / sy) ** 2)), 6) AS dcr FROM q, d, s GROUP BY 1) SELECT p_partkey, dcr, dcr < (SELECT median(dcr) FROM r WHERE dcr > 0) AS member FROM r""")
-def mia_dcr(t):
-    p = t("part")
-    return attacks.membership_inference(attacks.dcr(p.where("p_partkey % 10 = 0"), p.where("p_partkey % 10 <> 0"), "p_partkey", ["p_size", "p_retailprice"]))
-
-
 # The four queries above take subsets of part, as their SQL does; those below take whole part against its release.
 
 
 @query("""WITH b AS (SELECT p_partkey, substr(p_name, 1, 4) || repeat('*', length(p_name) - 6) || right(p_name, 2) AS p_name, p_brand FROM part)
 SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, round((jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2, 6) AS score FROM part a JOIN b ON a.p_name = b.p_name OR a.p_brand = b.p_brand
 WHERE (jaro_winkler_similarity(a.p_name, b.p_name) + jaro_winkler_similarity(a.p_brand, b.p_brand)) / 2 >= 0.85""")
-def link_probabilistic_whole(t):
+def link_probabilistic(t):
     p = t("part")
     return attacks.probabilistic_linkage(p, mask.mask_middle(p, "p_name", 4, 2, keep_separators=False), "p_partkey", "p_partkey", ["p_name", "p_brand"])
 
@@ -569,18 +539,18 @@ _NEAR_D = "sqrt(((p_size - x) / sx) ** 2 + ((p_retailprice - y) / sy) ** 2)"
 
 
 @query(f"{_NEAR_WHOLE} SELECT p_partkey, round(min({_NEAR_D}), 6) AS dcr FROM part, d, s GROUP BY 1")
-def dcr_whole(t):
+def dcr(t):
     return attacks.dcr(t("part"), released(t), "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query(f"{_NEAR_WHOLE}, r AS (SELECT p_partkey, min({_NEAR_D}, 2) AS l FROM part, d, s GROUP BY 1) SELECT p_partkey, round(round(l[1], 6) / (round(l[2], 6) + 1e-10), 6) AS nndr FROM r")
-def nndr_whole(t):
+@query(f"{_NEAR_WHOLE}, r AS (SELECT p_partkey, min({_NEAR_D}, 2) AS l FROM part, d, s GROUP BY 1) SELECT p_partkey, round(l[1] / (l[2] + 1e-10), 6) AS nndr FROM r")
+def nndr(t):
     return attacks.nndr(t("part"), released(t), "p_partkey", ["p_size", "p_retailprice"], scale=True)
 
 
 @query(f"{_NEAR_WHOLE}, r AS (SELECT p_partkey, round(min({_NEAR_D}), 6) AS dcr FROM part, d, s GROUP BY 1) SELECT p_partkey, dcr, dcr < (SELECT median(dcr) FROM r WHERE dcr > 0) AS member FROM r")
-def mia_dcr_whole(t):
-    return attacks.membership_inference(dcr_whole(t))
+def mia_dcr(t):
+    return attacks.membership_inference(dcr(t))
 
 
 @query("""WITH k AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0), m AS (SELECT o_orderstatus AS f, o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM k GROUP BY 1, 2)
@@ -959,9 +929,15 @@ def impute_random_sample(t):
     return reshape.impute(known, "lang", "random_sample", order=["doc_id"])
 
 
-@query()
+_P, _SHIFT = text.HASH_PRIME, text.GRAM_FACTOR
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_transform({_WORDS}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT & 2147483647) AS h FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, CASE WHEN len(h) >= 3 THEN list_transform(range(1, len(h) - 1), lambda i: (((h[i] % {_P} * {_SHIFT} + h[i + 1]) % {_P}) * {_SHIFT} + h[i + 2]) % {_P})
+WHEN len(h) = 2 THEN [(h[1] % {_P} * {_SHIFT} + h[2]) % {_P}] WHEN len(h) = 1 THEN [h[1] % {_P}] ELSE [] END AS g FROM h)
+SELECT doc_id, array_to_string(list_transform(range(1, 129), lambda s: coalesce(list_min(list_transform(g, lambda x: (x * (s * 7919 + 104729) + s * 15485863) % {_P})), {_P})), ',') AS signature FROM g""")
 def text_minhash(t):
-    return t("documents").select("doc_id", text.minhash(F.col("text")).alias("signature"))
+    return t("documents").where("text is not null").select("doc_id", F.array_join(text.minhash(F.col("text")).cast("array<string>"), ",").alias("signature"))
 
 
 @query()

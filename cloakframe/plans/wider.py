@@ -944,9 +944,9 @@ def text_similarities(t):
     return pairs.select("a", "b", F.round(text.partial_similarity(F.col("a"), F.col("b")), 6).alias("partial"), F.round(text.token_similarity(F.col("a"), F.col("b")), 6).alias("tokens"))
 
 
-@query("SELECT n_name, list_sort(list_distinct([substr(lower(n_name), i::INT, 3) FOR i IN range(1, greatest(length(n_name) - 2, 1) + 1)])) AS shingles FROM nation")
+@query("SELECT n_name, array_to_string(list_sort(list_distinct([substr(lower(n_name), i::INT, 3) FOR i IN range(1, greatest(length(n_name) - 2, 1) + 1)])), '|') AS shingles FROM nation")
 def text_shingles(t):
-    return t("nation").select("n_name", F.array_sort(text.character_shingles(F.col("n_name"))).alias("shingles"))
+    return t("nation").select("n_name", F.array_join(F.array_sort(text.character_shingles(F.col("n_name"))), "|").alias("shingles"))
 
 
 @query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT doc_id, w, CAST(len(w) // 50 AS INT) AS n FROM w) SELECT doc_id, coalesce(n, 0) AS segments, CASE WHEN n > 0 THEN round(list_avg(list_transform(range(0, n), lambda k: len(list_distinct(w[k * 50 + 1 : k * 50 + 50])) / 50)), 6) END AS msttr FROM s")
@@ -980,10 +980,10 @@ def text_markers(t):
     return text.unprocessed(rows, "c_name").select("c_custkey", text.mark_processed(F.col("c_name")).alias("c_name"))
 
 
-@query("SELECT n_nationkey, CASE WHEN contains(n_name, 'UNITED') THEN list_transform(string_split(lower(n_name), ' '), lambda w: CASE WHEN w = 'states' THEN 'state' ELSE w END) ELSE string_split(lower(n_name), ' ') END AS lemmas FROM nation WHERE regexp_matches(n_name, '^[A-Za-z ]+$')")
+@query("SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: CASE WHEN w = 'states' THEN 'state' ELSE w END), ' ') AS lemmas FROM nation WHERE regexp_matches(n_name, '^[A-Za-z ]+$')")
 def text_lemmas(t):
     lemmas = t("nation").sparkSession.createDataFrame([("states", "state")], "word string, lemma string")
-    return text.lemmatize(t("nation").where(F.col("n_name").rlike("^[A-Za-z ]+$")), "n_nationkey", "n_name", lemmas)
+    return text.lemmatize(t("nation").where(F.col("n_name").rlike("^[A-Za-z ]+$")), "n_nationkey", "n_name", lemmas).select("n_nationkey", F.array_join("lemmas", " ").alias("lemmas"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N} \t\n\x0B\f\r]+', '|', 'g'), '[ \t\n\x0B\f\r]+', '  ', 'g') AS x FROM documents), m AS (SELECT doc_id, regexp_replace(x, '(^|[ |])(""" + "|".join(sorted(text.STOP_WORDS["en"])) + r""")([ |])', '\1|\3', 'g') AS x FROM s),
@@ -991,3 +991,11 @@ p AS (SELECT doc_id, unnest(string_split(x, '|')) AS p FROM m), q AS (SELECT doc
 def text_key_phrases(t):
     out = text.key_phrases(t("documents"), "doc_id", "text")
     return out.where(F.col("phrase").rlike("^[a-z ]+$") & ~F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")).rlike(f" ({'|'.join(sorted(text.STOP_WORDS['en']))}) "))
+
+
+_LISTED = " ".join(f"WHEN w[i] IN ({', '.join(repr(w) for w in ws)}) THEN '{k}'" for k, ws in sorted(text.ENTITY_WORDS.items()))
+
+
+@query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), k AS (SELECT doc_id, w[i] AS word, CASE " + _LISTED + " END AS kind, CASE WHEN i > 1 THEN w[i - 1] || ' ' ELSE '' END || w[i] AS phrase FROM e) SELECT doc_id, kind, word, phrase, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL")
+def text_named_entities(t):
+    return text.named_entities(t("documents"), "doc_id", "text")

@@ -157,15 +157,15 @@ def test_whole_tables_are_linked_and_measured(spark):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").collect()
     shown = {r[0]: r[1][:4] + "*" * (len(r[1]) - 6) + r[1][-2:] for r in part}
     score = {(r[0], q[0]): (attacks.jaro_winkler(r[1], shown[q[0]]) + attacks.jaro_winkler(r[2], q[2])) / 2 for r in part for q in part if r[1] == shown[q[0]] or r[2] == q[2]}
-    links = rows(catalog.queries()["link_probabilistic_whole"](spark, SF))
+    links = rows(catalog.queries()["link_probabilistic"](spark, SF))
     assert sorted(links) == sorted((a, b, pytest.approx(s, abs=1e-6)) for (a, b), s in score.items() if s >= 0.85)
     x = np.array([[r[3], r[4]] for r in part], float)
     y = np.round(x / 10) * 10
     d = np.sort(np.sqrt((((x[:, None] - y[None]) / y.std(0)) ** 2).sum(2)), axis=1)
     keys = [r[0] for r in part]
-    assert dict(rows(catalog.queries()["dcr_whole"](spark, SF))) == pytest.approx(dict(zip(keys, d[:, 0], strict=True)), abs=2e-6)
-    assert dict(rows(catalog.queries()["nndr_whole"](spark, SF))) == pytest.approx(dict(zip(keys, d[:, 0] / (d[:, 1] + 1e-10), strict=True)), abs=1e-4)
-    members = {r["p_partkey"]: r["member"] for r in catalog.queries()["mia_dcr_whole"](spark, SF).collect()}
+    assert dict(rows(catalog.queries()["dcr"](spark, SF))) == pytest.approx(dict(zip(keys, d[:, 0], strict=True)), abs=2e-6)
+    assert dict(rows(catalog.queries()["nndr"](spark, SF))) == pytest.approx(dict(zip(keys, d[:, 0] / (d[:, 1] + 1e-10), strict=True)), abs=1e-4)
+    members = {r["p_partkey"]: r["member"] for r in catalog.queries()["mia_dcr"](spark, SF).collect()}
     assert set(members) == set(keys) and 0 < sum(members.values()) < len(keys)
 
 
