@@ -22,7 +22,7 @@ FUNCTION_WORDS = {
 
 def words(col: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), "")
 
 
 @F.pandas_udf(T.StringType())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import conditions as cond
-from ..operators import fake, generalize, mask, metrics, models, noise, profile, pseudonymize, registry, reshape, suppress, text
+from ..operators import attacks, fake, generalize, mask, metrics, models, noise, profile, pseudonymize, registry, reshape, suppress, text
 from ..sources import readers
 from .catalog import CQI, QI, lines, query
 
@@ -999,3 +999,20 @@ _LISTED = " ".join(f"WHEN w[i] IN ({', '.join(repr(w) for w in ws)}) THEN '{k}'"
 @query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), k AS (SELECT doc_id, w[i] AS word, CASE " + _LISTED + " END AS kind, CASE WHEN i > 1 THEN w[i - 1] || ' ' ELSE '' END || w[i] AS phrase FROM e) SELECT doc_id, kind, word, phrase, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL")
 def text_named_entities(t):
     return text.named_entities(t("documents"), "doc_id", "text")
+
+
+@query(_CUSTOMER)
+def io_chunks(t):
+    """A table in chunks, each worked on by itself, put together again."""
+    return readers.stack([c.withColumn("c_name", F.col("c_name")) for c in readers.chunks(t("customer"), 5, "c_custkey")])
+
+
+@query("""WITH r AS (SELECT c_custkey, c_mktsegment, c_acctbal > 0 AS rich, round_even(c_acctbal / 100, 0) * 100 AS bal FROM customer), v AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+d AS (SELECT DISTINCT code::DOUBLE AS x, rich::INT::DOUBLE AS y, bal AS z FROM r JOIN v USING (c_mktsegment)), w AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(z) AS sz FROM (SELECT code::DOUBLE AS x, rich::INT::DOUBLE AS y, bal AS z FROM r JOIN v USING (c_mktsegment))),
+q AS (SELECT c_custkey, code, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS rich, c_acctbal FROM customer JOIN v USING (c_mktsegment))
+SELECT c_custkey, round(min(sqrt(pow((code - x) / sx, 2) + pow((rich - y) / sy, 2) + pow((c_acctbal - z) / sz, 2))), 6) AS dcr FROM q, d, w GROUP BY c_custkey""")
+def dcr_mixed(t):
+    """Distance to the closest released record over a text, a boolean and a number."""
+    rows = t("customer").withColumn("rich", F.col("c_acctbal") > 0)
+    a, b = attacks.encode_features(rows, generalize.round_numbers(rows, "c_acctbal", -2), ["c_mktsegment", "rich", "c_acctbal"])
+    return attacks.dcr(a, b, "c_custkey", ["c_mktsegment", "rich", "c_acctbal"])

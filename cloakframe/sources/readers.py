@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -180,6 +180,12 @@ def write_task_output(df: DataFrame, folder: str, name: str, metrics: dict | Non
     return manifest
 
 
+def chunks(df: DataFrame, n: int, key: str) -> Iterator[DataFrame]:
+    """The table in ``n`` parts by a hash of ``key``, one after another; each is a lazy table of its own."""
+    for k in range(n):
+        yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)
+
+
 def encrypt_columns(df: DataFrame, fields: Sequence[str], key: bytes) -> DataFrame:
     for f in fields:
         df = df.withColumn(f, F.base64(F.aes_encrypt(F.col(f).cast("string").cast("binary"), F.lit(key))))
