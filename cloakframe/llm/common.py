@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import sys
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: Bytes of text that a kernel holds as numpy temporaries at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,17 +44,72 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``materialize`` wrote and nobody has discarded yet.
+_written: list[str] = []
+
+
+#: Rows that go to a Python worker at once, at most: they hold texts and sets.
+BATCH_ROWS = 2000
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, setting = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(since: int = 0) -> list[str]:
+    return _written[since:]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` wrote; only once nothing that reads them will run again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable) -> Callable:
+    """A kernel that gives freed memory back to the system when it ends: idle workers stay and would hold on to it."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+            trim(0)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    def group_kernel(group: pa.Table) -> pa.Table:
+        out = run(group)
+        release()
+        return out
+
+    return kernel if inspect.isgeneratorfunction(run) else group_kernel
+
+
 def text_bytes(col: str = "text"):
     """UTF-8 bytes of a text column; null becomes empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
@@ -158,20 +217,52 @@ FILTER_BITS = 25
 _SLICES = 16
 
 
+#: Parts that one task adds up.
+FAN_IN = 64
+
+
+def fold(parts: DataFrame, add: Callable[[pa.Table], bytes]) -> bytes:
+    """One table of fixed size out of the tasks' tables, on the driver; empty without parts.
+
+    ``parts`` (slice int, part int, bytes binary) holds each task's slices,
+    compressed; ``add`` unites those of a group.  Groups of ``FAN_IN`` parts
+    are united level by level, so no task gathers what grows with the input.
+    """
+    parts = parts.select("slice", "part", "bytes")
+
+    def level(last: bool):
+        def run(group: pa.Table) -> pa.Table:
+            total = add(group)
+            out = total if last else zlib.compress(total, 1)
+            return pa.table({"slice": group.column("slice")[:1], "part": group.column("part")[:1], "bytes": pa.array([out], pa.binary())})
+
+        return run
+
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        most //= FAN_IN
+        parts = parts.groupBy("slice", "part").applyInArrow(level(most == 0), "slice int, part int, bytes binary")
+        if not most:
+            break
+        parts = materialize(parts, "folded")
+    return b"".join(bytes(r["bytes"]) for r in sorted(parts.collect(), key=lambda r: r["slice"]))
+
+
 def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    some = False
-    for b in batches:
-        some = True
-        bits[filter_cells(b.column(0).to_numpy())] = True
-    if some:
-        for k, part in enumerate(np.split(np.packbits(bits), _SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "bits"])
+    parts = [filter_cells(b.column(0).to_numpy()) for b in batches]
+    if sum(map(len, parts)):
+        cells = np.unique(np.concatenate(parts))
+        at = pa.array([TaskContext.get().partitionId()], pa.int32())
+        width = (1 << FILTER_BITS) // _SLICES
+        for k, own in enumerate(np.split(cells, np.searchsorted(cells, np.arange(1, _SLICES) * width))):
+            bits = np.zeros(width, bool)
+            bits[own - k * width] = True
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), at, pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["slice", "part", "bytes"])
 
 
-def _united(group: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for c in group.column("bits").chunks for x in c])
-    return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+def _united(group: pa.Table) -> bytes:
+    return np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for c in group.column("bytes").chunks for x in c]).tobytes()
 
 
 def filter_cells(values: np.ndarray) -> np.ndarray:
@@ -183,8 +274,18 @@ def membership_filter(values: DataFrame) -> bytes:
 
     It only saves work: whatever passes is checked by what follows.
     """
-    parts = values.mapInArrow(_filter_parts, "slice int, bits binary").groupBy("slice").applyInArrow(_united, "slice int, bits binary").collect()
-    return b"".join(bytes(r["bits"]) for r in sorted(parts, key=lambda r: r["slice"])) or bytes(1 << (FILTER_BITS - 3))
+    return fold(materialize(values.mapInArrow(_filter_parts, "slice int, part int, bytes binary"), "filter"), _united) or bytes(1 << (FILTER_BITS - 3))
+
+
+def only(bits_var, column: str) -> Callable:
+    """A kernel that lets rows through whose ``column`` passes the broadcast filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bits_var.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(passes(bits, b.column(column).to_numpy())))
+
+    return run
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
