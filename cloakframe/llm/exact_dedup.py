@@ -155,20 +155,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after their ASCII white space is deleted;
     a null text counts as empty, so null, empty and blank texts form one
     group.  Of a group, the row with the most code points in the original
-    text stays, on ties that with the smallest id.  Rows repeated whole
-    (equal ids too) are rows of their own.  Other columns are ignored; an
-    empty table gives an empty result.
+    text stays, on ties that with the smallest id, a null id being larger
+    than any.  One row a group is kept: of rows alike in all that, any one,
+    also where their ids are equal.  Other columns are ignored; an empty
+    table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    points = F.length(text).cast("long").alias("points")
     bare = F.regexp_replace(text, f"{SPACE_CLASS}+", "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("points"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"))
-    rows = materialize(rows, "fingerprints")
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), number, points, F.sha2(bare.cast("binary"), 256).alias("text_sha256"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     print_of = F.conv(F.substring("text_sha256", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long")
     repeated = repeated_fingerprints(rows.select(print_of.alias("fingerprint")))
-    suspects = rows.select("doc_id", print_of.alias("fingerprint")).join(repeated.select("fingerprint"), "fingerprint", "left_semi").select("doc_id").distinct()
+    suspects = rows.select("id", print_of.alias("fingerprint")).join(repeated.select("fingerprint"), "fingerprint", "left_semi").select("id").distinct()
     # Bytes decide: a text is a key of the aggregation itself, and a digest that two texts share stops the job.
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("points"), bare.alias("bare")).join(suspects, "doc_id", "left_semi")
-    classes = texts.groupBy("bare").agg(F.count("*").alias("size"), F.max(F.struct("points", (-F.col("doc_id")).alias("rank"))).alias("best"))
+    texts = docs.select(number, points, bare.alias("bare")).join(suspects, "id", "left_semi")
+    classes = texts.groupBy("bare").agg(F.count("*").alias("size"), F.max(F.struct("points", (-F.col("id")).alias("rank"))).alias("best"))
     classes = (
         classes.select(F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"), "size", "best")
         .groupBy("text_sha256")
@@ -176,9 +179,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("text_sha256", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("size")).alias("size"), "best")
         .where("size > 1")
     )
-    # Written first, so that Spark can split a large group's rows in this join.
-    classes = materialize(classes, "classes")
-    keep = F.coalesce(-F.col("best.rank"), F.col("doc_id"))
-    return rows.join(classes, "text_sha256", "left").select(
-        F.col("doc_id").alias(id_col), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256"
-    )
+    # Written first, so that Spark can split a large group's rows in these joins.
+    classes = materialize(classes.select("text_sha256", "size", F.col("best.points").alias("most"), (-F.col("best.rank")).alias("least")), "classes")
+    best = rows.join(classes, "text_sha256").where("points = most and id = least").groupBy("text_sha256").agg(F.min("row").alias("best_row"), F.first("size").alias("size"), F.first("doc_id").alias("keep"))
+    best = materialize(best, "best")
+    alone = F.col("size").isNull()
+    return rows.join(best, "text_sha256", "left").select(
+        F.col("doc_id").alias(id_col), F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("best_row"))).alias("kept"), "text_sha256",
+    )

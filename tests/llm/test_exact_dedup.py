@@ -42,5 +42,16 @@ def test_empty_and_repeated(make_docs):
     assert [(r.doc_id, r.keep_id, r.group_size) for r in sorted(out)] == [(1, 1, 2), (1, 1, 2), (2, 3, 2), (3, 3, 2)]
 
 
+def test_null_and_repeated_ids(make_docs):
+    rows = [(None, "a"), (None, "a"), (3, "a"), (4, "a"), (None, "b c"), (None, "bc"), (5, "d "), (5, "d"), (5, "d "), (None, None)]
+    out = exact_dedup(make_docs(rows)).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.text_sha256, []).append(r)
+    sizes = sorted((len(v), {r.group_size for r in v}, {r.keep_id for r in v}, sum(r.kept for r in v)) for v in by.values())
+    assert sizes == [(1, {1}, {None}, 1), (2, {2}, {None}, 1), (3, {3}, {5}, 1), (4, {4}, {3}, 1)]
+    assert [r.doc_id for r in out if r.kept and r.group_size == 4] == [3]
+
+
 def test_sql(spark, duck):
     assert_same(queries.op8_exact_dedup(spark, SF), duck, queries.OP8_SQL)
