@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_view, materialize, mix, partitions, span_hashes, text_bytes, word_hashes, word_spans
+from .common import blocks, byte_view, materialize, membership_filter, mix, partitions, passes, span_hashes, text_bytes, tidy, word_hashes, word_spans
 
 #: Rounds of naming: pairs or runs.
 ROUNDS = ("pairs", "pairs", "runs", "pairs", "pairs", "runs", "pairs", "pairs", "pairs", "runs", "pairs")
-#: Bits of the broadcast filter over shared anchors (4 MB), as a power of two.
-FILTER_BITS = 25
-_SLICES = 16
+#: Entries (32 bytes each) that one bucket of anchors holds on average.
+BUCKET_ENTRIES = 500_000
+#: Stands for a null id: larger than any other.
+_NO_ID = 2**63 - 1
 
 
 def _shift(values: np.ndarray, edge: np.ndarray, at_edge: np.ndarray, back: int) -> np.ndarray:
@@ -209,30 +210,13 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"anchor": rows["anchor"].view(np.int64), "cover": rows["cover"].view(np.int64), "low": rows["low"], "several": several})
 
 
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    some = False
-    for b in batches:
-        some = True
-        bits[(b.column("anchor").to_numpy().view(np.uint64) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-    if some:
-        for k, part in enumerate(np.split(np.packbits(bits), _SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "bits"])
-
-
-def _united(group: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for c in group.column("bits").chunks for x in c])
-    return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
-
-
 def _rows_of(window: int, filter_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_var.value, np.uint8)
         for batch in batches:
             for b in blocks(batch, "text"):
                 doc, pos, n, anchor, cover, second, p = _spans_of(b, window)
-                cell = (anchor & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-                ok = (bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
+                ok = passes(bits, anchor.view(np.int64))
                 doc, pos, n, anchor, cover, p = (x[ok] for x in (doc, pos, n, anchor, cover, p))
                 if not len(doc):
                     continue
@@ -240,8 +224,8 @@ def _rows_of(window: int, filter_var):
                 start = np.repeat(p - (to - n), n) + np.arange(int(to[-1]))
                 prints = span_hashes(second, start, start + window).tobytes()
                 each = pa.array([prints[8 * i : 8 * j] for i, j in zip(to - n, to, strict=True)], pa.binary())
-                ids = pa.array(b.column("doc_id").to_numpy()[doc])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(pos), pa.array(n), each], ["doc_id", "anchor", "cover", "pos", "n", "prints"])
+                ids, keys = (pa.array(b.column(k).to_numpy()[doc]) for k in ("doc_id", "key"))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(anchor.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(pos), pa.array(n), each], ["doc_id", "key", "anchor", "cover", "pos", "n", "prints"])
 
     return run
 
@@ -251,8 +235,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.column("n").to_numpy()
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         prints = np.frombuffer(b"".join(b.column("prints").to_pylist()), np.int64)
-        doc, anchor, pos = (np.repeat(b.column(k).to_numpy(), n) for k in ("doc_id", "anchor", "pos"))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor), pa.array(pos + inside), pa.array(prints)], ["doc_id", "anchor", "pos", "print"])
+        doc, key, anchor, pos = (np.repeat(b.column(k).to_numpy(), n) for k in ("doc_id", "key", "anchor", "pos"))
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(anchor), pa.array(pos + inside), pa.array(prints)], ["doc_id", "key", "anchor", "pos", "print"])
 
 
 def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,40 +256,45 @@ def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 removed.append(0)
             texts.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "kept", "n_words", "n_removed"])
-
-
-def repeated_stretches(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, n): stretches of words covered by windows that a document with a smaller id also has."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    buckets = max(8, partitions(spark))
-    listed = rows.mapInArrow(_list_spans(window, buckets), "bucket int, entries binary")
-    shared = materialize(listed.groupBy("bucket").applyInArrow(_shared, "anchor long, cover long, low long, several boolean"), "shared")
-    slices = shared.select("anchor").mapInArrow(_filter_parts, "slice int, bits binary").groupBy("slice").applyInArrow(_united, "slice int, bits binary").collect()
-    bits = b"".join(bytes(r["bits"]) for r in sorted(slices, key=lambda r: r["slice"])) or bytes(1 << (FILTER_BITS - 3))
-    filter_var = spark.sparkContext.broadcast(bits)
-    found = rows.mapInArrow(_rows_of(window, filter_var), "doc_id long, anchor long, cover long, pos long, n long, prints binary").join(shared, ["anchor", "cover"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["id", "kept", "n_words", "n_removed"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (a null one is larger than any other), key (a hash of the text, to tell rows with one id apart), text."""
+    text = F.col(text_col)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text_bytes(text_col).alias("text"), F.col(id_col).alias("id"))
+
+
+def repeated_stretches(rows: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, key, pos, n): stretches of words of ``rows`` (doc_id, key, text) covered by windows that a row with a smaller doc_id also has."""
+    spark = rows.sparkSession
+    # An entry stands for several words, which take some bytes each: so many buckets hold a bounded number of entries.
+    bytes_in = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(8, partitions(spark), bytes_in // 50 // BUCKET_ENTRIES)
+    listed = rows.select("doc_id", "text").mapInArrow(tidy(_list_spans(window, buckets)), "bucket int, entries binary")
+    shared = materialize(listed.groupBy("bucket").applyInArrow(tidy(_shared), "anchor long, cover long, low long, several boolean"), "shared")
+    filter_var = spark.sparkContext.broadcast(membership_filter(shared.select("anchor")))
+    found = rows.select("doc_id", "key", "text").mapInArrow(tidy(_rows_of(window, filter_var)), "doc_id long, key long, anchor long, cover long, pos long, n long, prints binary").join(shared, ["anchor", "cover"])
     again = F.col("low") < F.col("doc_id")
-    found = materialize(found.where(again | F.col("several")).select("doc_id", "anchor", "pos", "n", again.alias("again"), F.when(~again, F.col("prints")).alias("prints")), "found")
-    whole = found.where("again").select("doc_id", "pos", (F.col("n") + window - 1).alias("n"))
-    single = found.where("not again").select("doc_id", "anchor", "pos", "n", "prints").mapInArrow(_windows, "doc_id long, anchor long, pos long, print long")
+    found = materialize(found.where(again | F.col("several")).select("doc_id", "key", "anchor", "pos", "n", again.alias("again"), F.when(~again, F.col("prints")).alias("prints")), "found")
+    whole = found.where("again").select("doc_id", "key", "pos", (F.col("n") + window - 1).alias("n"))
+    single = found.where("not again").select("doc_id", "key", "anchor", "pos", "n", "prints").mapInArrow(_windows, "doc_id long, key long, anchor long, pos long, print long")
     least = materialize(single.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "print", "low"), "windows")
-    return whole.unionByName(single.join(least, ["anchor", "print"]).where("low < doc_id").select("doc_id", "pos", F.lit(window).cast("long").alias("n")))
+    return whole.unionByName(single.join(least, ["anchor", "print"]).where("low < doc_id").select("doc_id", "key", "pos", F.lit(window).cast("long").alias("n")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept (the words that stay, joined by one space), n_words, n_removed of every document.
+    """id, kept (the words that stay, joined by one space), n_words, n_removed of every document.
 
     Words are runs of anything but ASCII white space, unchanged.  A word goes
     if a window of ``window`` words that covers it also starts in a document
-    with a smaller id; repeats inside one document, and among rows with equal
-    ids, stay.  A null text has no words, one of fewer than ``window`` words
-    loses none.  Other columns are ignored; an empty table gives an empty
-    result.
+    with a smaller id, a null id being larger than any; repeats inside one
+    document, and among rows with equal or null ids, stay.  A null text has
+    no words, one of fewer than ``window`` words loses none.  Other columns
+    are ignored; an empty table gives an empty result.
     """
-    stretches = repeated_stretches(docs, window, id_col, text_col)
-    cuts = stretches.groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).join(cuts, "doc_id", "left")
-    out = rows.select("doc_id", "text", "at", "n").mapInArrow(_keep_words, "doc_id long, kept string, n_words long, n_removed long")
-    return out.withColumnRenamed("doc_id", id_col)
+    rows = _rows(docs, id_col, text_col)
+    cuts = repeated_stretches(rows, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("cuts"))
+    joined = rows.join(cuts, ["doc_id", "key"], "left").select("id", "text", F.col("cuts.pos").alias("at"), F.col("cuts.n").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(tidy(_keep_words), f"id {kind}, kept string, n_words long, n_removed long").withColumnRenamed("id", id_col)

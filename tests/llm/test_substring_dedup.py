@@ -46,3 +46,11 @@ def test_runs_and_empty(make_docs):
     assert {r[0]: tuple(r[1:]) for r in remove_repeats(make_docs(rows)).collect()} == brute(rows, 50)
     assert remove_repeats(make_docs([])).count() == 0
     assert [tuple(r)[2:] for r in remove_repeats(make_docs([(1, "a " * 60), (1, "a " * 60)])).collect()] == [(60, 0), (60, 0)]
+
+
+def test_null_and_repeated_ids(make_docs):
+    """Rows with one id lose their own repeats only; a null id is larger than any."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (2, "x " + a + " " + b), (2, b), (2, a + " y"), (2, a + " y"), (None, b + " z"), (None, a), (None, a), (None, "own " * 55), (None, None)]
+    out = sorted((str(r[0]), r[2], r[3]) for r in remove_repeats(make_docs(rows)).collect())
+    assert out == sorted([("1", 60, 0), ("2", 121, 60), ("2", 60, 0), ("2", 61, 60), ("2", 61, 60), ("None", 61, 60), ("None", 60, 60), ("None", 60, 60), ("None", 55, 0), ("None", 0, 0)])
