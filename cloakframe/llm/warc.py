@@ -9,10 +9,12 @@ store that Spark can write holds them.
 Reading: whole records are decoded where they are read.  Segments are grouped
 by their origin's identifier, ordered by number, checked against the total
 length, joined, and then decoded; only segments are shuffled.  A payload whose
-digest differs from its header's stops the job.
+digest differs from its header's stops the job.  Archives are read once: what
+a task decodes, and the segments it finds, are written to the shared folder.
 
-Scale: an archive has at most ``records_per_file`` records and is read by one
-task.  Equal payloads are found by digest with partial aggregation.  The list
+Scale: an archive has at most ``records_per_file`` records of at most
+``segment_bytes`` and a header (128 MB as set here) and is read by one task,
+record by record.  Equal payloads are found by digest with partial aggregation.  The list
 of revisits is written before it is joined, so payloads stay where they are
 read if that list is small enough for Spark to broadcast, and else move once.
 """
@@ -22,7 +24,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,20 +93,20 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
         yield _header([*pairs, ("WARC-Segment-Total-Length", len(block) if k == n else None), ("Content-Length", len(part))]) + part + _END
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(_END, at)
-        lines = archive[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record, read one after another."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record where one should begin")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        at = end + 4 + int(head["content-length"])
-        if archive[at : at + 4] != _END:
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().partition(":")
+            head[name.lower()] = value.strip()
+        n = int(head["content-length"])
+        block = stream.read(n + 4)
+        if len(block) != n + 4 or block[n:] != _END:
             raise ValueError("a record does not end where its length says")
-        yield head, archive[end + 4 : at]
-        at += 4
+        yield head, block[:n]
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -141,7 +145,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
 
     Null html is an empty payload, a null url leaves its header out.  Of equal
     payloads of at least ``min_revisit_bytes``, rows with the smallest page_id
-    are responses (all of them if that row is repeated), others are revisits.
+    are responses (all of them if that row is repeated), others are revisits;
+    a null page_id is larger than any, and is read back as null.
     Other columns are ignored; an empty table writes archives without records.
     """
 
@@ -162,10 +167,11 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("payload"))
     keyed = rows.withColumn("key", F.sha2("payload", 256))
-    first = keyed.where(F.length("payload") >= min_revisit_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = keyed.select("page_id", "key").join(first, "key").where("page_id > first").select("page_id", "key", F.col("first").alias("refers_to")).distinct()
+    keyed = keyed.withColumn("number", F.coalesce("page_id", F.lit(2**63 - 1)))
+    first = keyed.where(F.length("payload") >= min_revisit_bytes).groupBy("key").agg(F.min("number").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = keyed.select("number", "key").join(first, "key").where("number > first").select("number", "key", F.col("first").alias("refers_to")).distinct()
     again = materialize(again, "revisits")
-    records = keyed.join(again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
+    records = keyed.join(again, ["number", "key"], "left").select("page_id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -173,8 +179,9 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 _PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _page_id(name: str) -> int:
-    return int(name.strip("<>").split(":")[2])
+def _page_id(name: str) -> int | None:
+    number = name.strip("<>").split(":")[2]
+    return None if number == "None" else int(number)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -188,39 +195,32 @@ def _response(name: str, block: bytes, digest: str) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a page of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    segment = pa.schema([("origin", pa.string()), ("digest", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("data", pa.binary())])
+    both = pa.schema([*_PAGE, ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("data", pa.binary())])
 
-    def records(b: pa.RecordBatch) -> Iterator[tuple[dict[str, str], bytes]]:
-        for content in b.column(0):
-            yield from parse(gzip.decompress(content.as_py()))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for head, block in records(b):
-                digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for content in (c for b in batches for c in b.column(0)):
+            for head, block in parse(gzip.open(io.BytesIO(content.as_py()))):
+                name, digest = head["warc-record-id"], head.get("warc-payload-digest", "").removeprefix("sha1:")
                 if head["warc-type"] == "revisit":
-                    rows.append((_page_id(head["warc-record-id"]), int(_http(block)[0]["content-length"]), digest, "revisit", _page_id(head["warc-refers-to"])))
-                elif head["warc-type"] == "response" and "warc-segment-number" not in head:
-                    rows.append(_response(head["warc-record-id"], block, digest))
-            yield _batch(rows, _PAGE)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for head, block in records(b):
-                if "warc-segment-number" in head:
+                    rows.append((_page_id(name), int(_http(block)[0]["content-length"]), digest, "revisit", _page_id(head["warc-refers-to"]), None, None, None, None))
+                elif "warc-segment-number" in head:
                     total = head.get("warc-segment-total-length")
-                    rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(head["warc-segment-number"]), total and int(total), block))
-            for i in range(0, len(rows), 200):
-                yield _batch(rows[i : i + 200], segment)
+                    rows.append((None, None, digest or None, None, None, head.get("warc-segment-origin-id", name), int(head["warc-segment-number"]), total and int(total), block))
+                elif head["warc-type"] == "response":
+                    rows.append((*_response(name, block, digest), None, None, None, None))
+                if len(rows) >= 200:
+                    yield _batch(rows, both)
+                    rows = []
+        yield _batch(rows, both)
 
     def join_up(group: pa.Table) -> pa.Table:
         blocks = reassemble(list(zip(*(group.column(c).to_pylist() for c in ("number", "total", "data")), strict=True)))
-        digest = next(d for d in group.column("digest").to_pylist() if d)
+        digest = next(d for d in group.column("payload_digest").to_pylist() if d)
         name = group.column("origin")[0].as_py()
         return pa.Table.from_batches([_batch([_response(name, x, digest) for x in blocks], _PAGE)])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    joined = files.mapInArrow(parts, "origin string, digest string, number int, total long, data binary").groupBy("origin").applyInArrow(join_up, _READ)
-    return files.mapInArrow(whole, _READ).unionByName(joined)
+    found = materialize(files.mapInArrow(decode, f"{_READ}, origin string, number int, total long, data binary"), "records")
+    joined = found.where("origin is not null").select("payload_digest", "origin", "number", "total", "data").groupBy("origin").applyInArrow(join_up, _READ)
+    return found.where("origin is null").select(_PAGE.names).unionByName(joined)

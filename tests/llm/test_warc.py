@@ -39,6 +39,14 @@ def test_round_trip(spark, tmp_path):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_null_ids(spark, tmp_path):
+    rows = [(None, "u", "x"), (4, "u", "x"), (None, "u", "alone"), (None, "u", "both"), (None, "u", "both"), (6, None, "y" * 200)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "n"), segment_bytes=100)
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "n")).collect()]
+    want = [(None, 1, "revisit", 4), (4, 1, "response", None), (None, 5, "response", None), (None, 4, "response", None), (None, 4, "response", None), (6, 200, "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
