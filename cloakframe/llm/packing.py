@@ -12,13 +12,16 @@ into groups costs no sequences beyond those of the last round.
 Scale: a group has at most about ``GROUP_PIECES`` pieces whatever the table's
 size; only ids, lengths and checksums move between tasks, never tokens.  The
 rounds end where a round no longer saves a fifth of the groups, so they are logarithmic.
+The search goes as far as ``Limits`` says; ``EXACT`` has none.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,10 +32,28 @@ from pyspark.sql import functions as F
 from .common import materialize, text_bytes
 from .word_bpe import word_ids
 
-#: Pieces in a group, on average; search nodes and fillings a node that branch and bound may look at.
-GROUP_PIECES, MAX_NODES, MAX_FILLINGS, MAX_STEPS = 4096, 400, 12, 400
-#: Beyond so many pieces a filling goes on greedily.
-MAX_DEPTH = 24
+#: Pieces in a group, on average.
+GROUP_PIECES = 4096
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How far a search goes before its incumbent stands.
+
+    ``nodes`` beyond one for each bin; ``fillings`` kept and ``steps`` taken to
+    find them at each; from ``depth`` pieces on a filling goes on greedily.
+    The incumbent is always a whole packing, so limits cost sequences at most.
+    """
+
+    nodes: float = 400
+    fillings: float = 12
+    steps: float = 400
+    depth: float = 24
+
+
+#: No limits: the fewest bins there are, in time that may be exponential.
+EXACT = Limits(math.inf, math.inf, math.inf, math.inf)
+LIMITS = Limits()
 #: A bin with more unused than this part of its room is packed anew in the next round.
 WASTE = 0.002
 
@@ -71,7 +92,7 @@ def dominated(filling: list[int], unused: list[int], slack: int) -> bool:
     return False
 
 
-def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> list[list[int]]:
+def fillings(free: int, sizes: list[int], counts: dict[int, int], limits: Limits = LIMITS) -> list[list[int]]:
     """Undominated sets of pieces that fit in ``free``, fullest first; ``sizes`` falls."""
     fit = sizes[bisect_left(sizes, -free, key=lambda s: -s) :]
     found: list[tuple[int, list[int]]] = []
@@ -81,7 +102,7 @@ def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> list[list[i
         nonlocal steps
         steps += 1
         k = bisect_left(fit, -room, lo=at, key=lambda s: -s)
-        if len(chosen) >= MAX_DEPTH:
+        if len(chosen) >= limits.depth:
             rest = []
             while k < len(fit) and room:
                 n = min(room // fit[k], counts[fit[k]] - chosen.count(fit[k]))
@@ -95,7 +116,7 @@ def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> list[list[i
         if k >= len(fit):
             found.append((room, list(chosen)))
             return
-        while k < len(fit) and steps < MAX_STEPS and not (found and min(found)[0] == 0 and len(found) >= MAX_FILLINGS):
+        while k < len(fit) and steps < limits.steps and not (found and min(found)[0] == 0 and len(found) >= limits.fillings):
             s = fit[k]
             if chosen.count(s) < counts[s]:
                 chosen.append(s)
@@ -109,12 +130,12 @@ def fillings(free: int, sizes: list[int], counts: dict[int, int]) -> list[list[i
     for slack, chosen in found:
         if not dominated(chosen, [y for y in fit if y <= sum(chosen) + slack], slack):
             kept.append(chosen)
-            if len(kept) == MAX_FILLINGS:
+            if len(kept) == limits.fillings:
                 break
-    return kept or [found[0][1]]
+    return kept or [found[0][1] if found else []]
 
 
-def complete_bins(sizes: list[int], room: int, max_nodes: int = MAX_NODES) -> list[list[int]]:
+def complete_bins(sizes: list[int], room: int, limits: Limits = LIMITS) -> list[list[int]]:
     """Bins of indices into ``sizes`` (each from 1 to ``room``), as few as the search finds."""
     best = best_fit(sizes, room)
     total = sum(sizes)
@@ -143,12 +164,12 @@ def complete_bins(sizes: list[int], room: int, max_nodes: int = MAX_NODES) -> li
     def options() -> Iterator[list[int]]:
         largest = falling[0]
         take([largest], -1)
-        out = [[largest, *f] for f in fillings(room - largest, falling, counts)] if falling else [[largest]]
+        out = [[largest, *f] for f in fillings(room - largest, falling, counts, limits)] if falling else [[largest]]
         take([largest], 1)
         return iter(out)
 
     stack.append(options())
-    while stack and nodes < max_nodes + len(best):
+    while stack and nodes < limits.nodes + len(best):
         f = next(stack[-1], None)
         if f is None:
             stack.pop()
@@ -181,12 +202,12 @@ def complete_bins(sizes: list[int], room: int, max_nodes: int = MAX_NODES) -> li
     return [[where[s].pop() for s in b] for b in solution]
 
 
-def complete_poor_bins(sizes: list[int], room: int) -> list[list[int]]:
+def complete_poor_bins(sizes: list[int], room: int, limits: Limits = LIMITS) -> list[list[int]]:
     """Best fit, and branch and bound over the pieces of its poor bins alone: what stays poor is packed anew anyway."""
     bins = best_fit(sizes, room)
     poor = [b for b in bins if room - sum(sizes[i] for i in b) > WASTE * room]
     members = [i for b in poor for i in b]
-    again = complete_bins([sizes[i] for i in members], room, MAX_NODES // 4)
+    again = complete_bins([sizes[i] for i in members], room, replace(limits, nodes=limits.nodes / 4))
     return [b for b in bins if room - sum(sizes[i] for i in b) <= WASTE * room] + [[members[i] for i in b] for b in again]
 
 
@@ -210,14 +231,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-_PLACES = "doc_id long, piece int, row long, length long, sequence_id long, offset long, open boolean"
+_PLACES = "row long, length long, sequence_id long, offset long, open boolean"
 
 
-def _pack_group(room: int, round_no: int, last: bool):
+def _pack_group(room: int, round_no: int, last: bool, limits: Limits):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row"], kind="stable").reset_index(drop=True)
         sizes = group["length"].tolist()
-        bins = complete_bins(sizes, room) if last else complete_poor_bins(sizes, room)
+        bins = complete_bins(sizes, room, limits) if last else complete_poor_bins(sizes, room, limits)
         seq, at, is_open = (np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool))
         base = (round_no << 56) | (int(group["group"].iloc[0]) << 24)
         for b, members in enumerate(bins):
@@ -226,12 +247,12 @@ def _pack_group(room: int, round_no: int, last: bool):
                 seq[i], at[i] = base + b, used
                 used += sizes[i]
             is_open[members] = not last and room - used > WASTE * room
-        return group[["doc_id", "piece", "row", "length"]].assign(sequence_id=seq, offset=at, open=is_open)
+        return group[["row", "length"]].assign(sequence_id=seq, offset=at, open=is_open)
 
     return run
 
 
-def pack(pieces: DataFrame, room: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, room: int, group_pieces: int = GROUP_PIECES, limits: Limits = LIMITS) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset.
 
     ``length`` is from 1 to ``room``.  Ties and repeated rows are packed each
@@ -240,20 +261,20 @@ def pack(pieces: DataFrame, room: int, group_pieces: int = GROUP_PIECES) -> Data
     """
     pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == room).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < room).select("doc_id", "piece", "row", "length")
+    rest = pieces.where(F.col("length") < room).select("row", "length")
     placed, round_no, before = [full], 0, None
     while True:
         groups = max(1, -(-rest.count() // group_pieces))
         # Bins that stay poor however they are dealt (pieces over half the room) end the rounds.
         last = groups == 1 or before is not None and 5 * groups > 4 * before
         packed = materialize(
-            rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups))).groupBy("group").applyInPandas(_pack_group(room, round_no, last), _PLACES), f"packed-{round_no}"
+            rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups))).groupBy("group").applyInPandas(_pack_group(room, round_no, last, limits), _PLACES), f"packed-{round_no}"
         )
         placed.append(packed.where("not open").select("row", "sequence_id", "offset"))
         if last:
             break
         before = groups
-        rest = packed.where("open").select("doc_id", "piece", "row", "length")
+        rest = packed.where("open").select("row", "length")
         round_no += 1
     places = placed[0]
     for p in placed[1:]:
@@ -261,10 +282,10 @@ def pack(pieces: DataFrame, room: int, group_pieces: int = GROUP_PIECES) -> Data
     return pieces.join(places, "row").drop("row")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty: its one piece is the end id.  Longer
     documents are cut after each ``length`` ids.  Other columns are ignored.
     """
-    return pack(token_pieces(docs, tokenizer_path, end_id, length, id_col, text_col), length).withColumnRenamed("doc_id", id_col)
+    return pack(token_pieces(docs, tokenizer_path, end_id, length, id_col, text_col), length, limits=limits).withColumnRenamed("doc_id", id_col)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cloakframe.llm.packing import best_fit, complete_bins, pack, pack_documents
+from cloakframe.llm.packing import EXACT, Limits, best_fit, complete_bins, pack, pack_documents
 from cloakframe.llm.word_bpe import word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +52,32 @@ def test_brute_force():
     assert beaten
 
 
+def test_limits():
+    """Without limits the fewest bins; with the tightest ones still a whole packing, no worse than best fit."""
+    rng = random.Random(6)
+    for _ in range(60):
+        room = rng.choice([30, 60, 100])
+        sizes = [rng.randint(room // 8, room // 2 + 3) for _ in range(rng.randint(8, 13))]
+        assert len(complete_bins(sizes, room, EXACT)) == fewest(sorted(sizes, reverse=True), room)
+        bins = complete_bins(sizes, room, Limits(1, 1, 1, 1))
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and len(bins) <= len(best_fit(sizes, room))
+
+
+def test_null_and_repeated_ids(make_docs):
+    rows = [(None, "a b c"), (None, None), (2**62 + 1, "x"), (2**62 + 1, "x"), (3, "word " * 5000)]
+    out = pack_documents(make_docs(rows), PATH).collect()
+    assert sorted(str(r.doc_id) for r in out if not r.piece) == sorted(str(i) for i, _ in rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
 def test_words_as_the_library():
     library, table = Tokenizer.from_file(PATH), word_ids(PATH)
     rng = random.Random(2)
