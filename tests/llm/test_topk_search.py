@@ -41,6 +41,22 @@ def test_brute_force(spark):
     assert top_k(df.where("1 = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_clusters_repeated_ids_and_hot_vector(spark):
+    """Balls far apart, a vector that a third of the rows have, and ids that repeat with other vectors and widths."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(6, 5)) * 4
+    rows = [(i, [float(x) for x in middle[i % 6] + rng.normal(size=5) / 8]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, shard_vectors=32).collect()} == brute(rows)
+    again = [(50, [9.0, 9.0, 9.0, 9.0, 9.0]), (50, [1.0, 2.0]), (51, [2.0, 2.0]), (52, [3.0, 1.0]), (None, [5.0, 5.0])]
+    out = top_k(spark.createDataFrame(rows + again, df.schema), F.col("vec_id") % 50 == 0, shard_vectors=32)
+    own = sorted((r["rank"], r["vec_id"]) for r in out.where("query_id = 50").collect())
+    assert own == [(1, 51), (2, 52)]
+    others = {tuple(r) for r in out.where("query_id = 100").collect()}
+    assert others == {r for r in brute([*rows, *[x for x in again if x[0] == 50 and len(x[1]) == 5]]) if r[0] == 100}
+
+
 def test_overflow():
     with pytest.raises(ValueError):
         BallTree(np.array([1]), np.array([[1 << 31, 1 << 31]]))
