@@ -6,9 +6,10 @@ classes by its ending, and is drawn inside its class by its smoothed count.
 The model predicts a symbol from the two before it: a linear map of each
 context vector, added up, times the vector of every symbol, plus a bias.
 
-Training is numpy: each task runs over all training tokens of its partition
-once, telling each from noise symbols drawn by their frequency; the tasks'
-parameters are averaged, weighted by tokens.  Scores are normalised exactly:
+Training is numpy: each task runs over all training tokens of its partition,
+telling each from noise symbols drawn by their frequency; the tasks'
+parameters are averaged, weighted by tokens, and the next pass goes on from
+the average.  Scores are normalised exactly:
 batched matrix products give the normaliser of every pair of context symbols,
 so the probabilities of all tokens add up to one.
 
@@ -30,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, text_bytes
+from .common import blocks, fold, materialize, text_bytes, tidy
 
 #: Words with a symbol of their own, classes of other words, and words whose counts every task holds.
 SYMBOL_WORDS, ENDING_CLASSES, COMMON_WORDS = 1024, 256, 65_536
 #: Length of vectors, tokens a step, noise symbols a step, step size.
 DIMENSIONS, STEP_TOKENS, NOISE, RATE = 16, 4096, 48, 0.08
+#: Passes over all training tokens.
+PASSES = 2
 #: Words counted or remembered by a task at a time.
 HELD_WORDS = 400_000
 #: Smoothing of counts.
@@ -44,12 +47,15 @@ ALPHA = 0.1
 END = b" "
 SYMBOLS = SYMBOL_WORDS + ENDING_CLASSES + 2
 END_SYMBOL, BEGIN_SYMBOL = SYMBOLS - 2, SYMBOLS - 1
-#: Partial averages that reach the driver at most.
-_PARTS = 32
+
+
+def words_of(text: pa.BinaryScalar) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z lower-cased."""
+    return text.as_py().lower().split()
 
 
 def ending_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:].lower()) % ENDING_CLASSES
+    return zlib.crc32(word[-2:]) % ENDING_CLASSES
 
 
 class WordTable(dict):
@@ -85,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text in b.column("text"):
-            counts.update(text.as_py().split())
+            counts.update(words_of(text))
             if len(counts) > HELD_WORDS:
                 yield from flush()
         counts[END] += b.num_rows
@@ -102,35 +108,36 @@ def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LogBilinear:
-    """Parameters: symbol vectors, biases, and one map for each of the two context places."""
+    """Parameters: symbol vectors, biases, and one map for each of the two context places; with each, the squared gradients so far."""
 
     SHAPES = ((SYMBOLS, DIMENSIONS), (SYMBOLS,), (DIMENSIONS, DIMENSIONS), (DIMENSIONS, DIMENSIONS))
 
-    def __init__(self, parameters: list[np.ndarray]):
+    def __init__(self, parameters: list[np.ndarray], grown: list[np.ndarray] | None = None):
         self.vectors, self.bias, self.near, self.far = self.parameters = parameters
+        self.grown = grown or [np.full(x.shape, 1e-6, np.float32) for x in parameters]
 
     @classmethod
     def initial(cls, frequency: np.ndarray, seed: int = 7) -> LogBilinear:
         rng = np.random.default_rng(seed)
         shapes = cls.SHAPES
-        return cls([rng.normal(0, 0.1, shapes[0]), np.log(frequency), np.eye(DIMENSIONS) * 0.5, np.eye(DIMENSIONS) * 0.5])
+        return cls([x.astype(np.float32) for x in (rng.normal(0, 0.1, shapes[0]), np.log(frequency), np.eye(DIMENSIONS) * 0.5, np.eye(DIMENSIONS) * 0.5)])
 
     @classmethod
     def load(cls, flat: np.ndarray) -> LogBilinear:
         out, at = [], 0
-        for s in cls.SHAPES:
-            out.append(np.array(flat[at : at + int(np.prod(s))], np.float64).reshape(s))
+        for s in cls.SHAPES * 2:
+            out.append(np.array(flat[at : at + int(np.prod(s))], np.float32).reshape(s))
             at += int(np.prod(s))
-        return cls(out)
+        return cls(out[: len(cls.SHAPES)], out[len(cls.SHAPES) :])
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parameters])
+        return np.concatenate([x.ravel() for x in (*self.parameters, *self.grown)]).astype(np.float64)
 
     def train(self, tokens: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], frequency: np.ndarray, seed: int) -> int:
         """One pass over (symbol, one before, two before) arrays; returns the number of tokens."""
         rng = np.random.default_rng(seed)
-        total, grown = 0, [np.full(x.shape, 1e-6) for x in self.parameters]
-        log_noise = np.log(frequency * NOISE)
+        total, grown = 0, self.grown
+        log_noise = np.log(frequency * NOISE).astype(np.float32)
         cumulated = np.cumsum(frequency)
         lane = np.arange(DIMENSIONS)
 
@@ -155,9 +162,9 @@ class LogBilinear:
                 np.add.at(d_vectors, noise, fake.T @ q)
                 d_bias = np.bincount(a, data, SYMBOLS) + np.bincount(noise, fake.sum(0), SYMBOLS)
                 for x, g, s in zip(self.parameters, (d_vectors, d_bias, rb.T @ dq, rc.T @ dq), grown, strict=True):
-                    g = g / len(t)
+                    g = (g / len(t)).astype(np.float32)
                     s += g * g
-                    x += RATE * g / np.sqrt(s)
+                    x += np.float32(RATE) * g / np.sqrt(s)
         return total
 
     def pair_scores(self) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +186,7 @@ def _tokens(b: pa.RecordBatch, table: WordTable) -> tuple[list[bytes], np.ndarra
     words: list[bytes] = []
     n = []
     for text in b.column("text"):
-        own = text.as_py().split()
+        own = words_of(text)
         own.append(END)
         n.append(len(own))
         words += own
@@ -194,43 +201,47 @@ def _tokens(b: pa.RecordBatch, table: WordTable) -> tuple[list[bytes], np.ndarra
     return words, n, symbol, one, two, place
 
 
-def train(training: DataFrame, common: list[bytes], frequency: np.ndarray) -> LogBilinear:
-    """The averaged model over ``training`` (text: binary)."""
-    sc = training.sparkSession.sparkContext
-    held = sc.broadcast((common, frequency))
+def train(training: DataFrame, common: list[bytes], frequency: np.ndarray, passes: int = PASSES) -> LogBilinear:
+    """The averaged model over ``training`` (text: binary) after some passes."""
+    model = LogBilinear.initial(frequency)
+    for k in range(passes):
+        held = training.sparkSession.sparkContext.broadcast((common, frequency, model.flat()))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, k=k) -> Iterator[pa.RecordBatch]:
+            common, frequency, flat = held.value
+            table, model = WordTable(common), LogBilinear.load(flat)
+            part = TaskContext.get().partitionId()
+            n = model.train((_tokens(x, table)[2:5] for b in batches for x in blocks(b, "text")), frequency, (k << 32) + part)
+            if n:
+                weighed = np.append(model.flat() * n, float(n))
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(weighed.tobytes(), 1)], pa.binary())], ["slice", "part", "bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, frequency = held.value
-        table, model = WordTable(common), LogBilinear.initial(frequency)
-        part = TaskContext.get().partitionId()
-        n = model.train((_tokens(x, table)[2:5] for b in batches for x in blocks(b, "text")), frequency, part)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part % _PARTS], pa.int32()), pa.array([n], pa.int64()), pa.array([(model.flat() * n).tobytes()], pa.binary())], ["part", "n", "sums"])
+        total = np.frombuffer(fold(materialize(training.mapInArrow(tidy(run), "slice int, part int, bytes binary"), "pass"), _sum))
+        if not len(total):
+            break
+        model = LogBilinear.load(total[:-1] / total[-1])
+    return model
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer()) for c in group.column("sums").chunks for x in c)
-        return pa.table({"n": pa.array([sum(group.column("n").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = training.mapInArrow(run, "part int, n long, sums binary").groupBy("part").applyInArrow(add, "n long, sums binary").collect()
-    if not parts:
-        return LogBilinear.initial(frequency)
-    return LogBilinear.load(sum(np.frombuffer(bytes(r["sums"])) for r in parts) / sum(r["n"] for r in parts))
+def _sum(group: pa.Table) -> bytes:
+    return sum(np.frombuffer(zlib.decompress(x.as_py())) for c in group.column("bytes").chunks for x in c).tobytes()
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Learns from documents whose crc32(id as text) modulo ``folds`` is not 0.
-    A null or empty text is its end token alone.  Scores are log10 of the
-    text's probability: by smoothed counts (base) and by the model.  Rows with
-    equal ids must not occur (their rare words would be added up); other
-    columns are ignored; an empty table gives an empty result.
+    A-Z count as a-z.  A null or empty text is its end token alone.  Scores
+    are log10 of the text's probability: by smoothed counts (base) and by the
+    model.  Rows that repeat an id are scored each; those without one are
+    learnt from.  Other columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
-    held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes(text_col).alias("text"))
     training = rows.where("not held_out").select("text")
-    vocabulary = materialize(training.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
+    vocabulary = materialize(training.mapInArrow(tidy(_count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
     all_tokens, all_words = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
     words = vocabulary.where(F.col("word") != F.lit(END))
     common = [(bytes(r["word"]), r["c"]) for r in words.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).collect()]
@@ -277,6 +288,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, near, far, z, log_count, in_class = share.value
         table = WordTable(names)
+        # Rows are numbered where they are written; ids may repeat.
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for b in blocks(batch, "text"):
                 words, n, w, one, two, place = _tokens(b, table)
@@ -291,24 +304,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 known = np.where(end, ends_known, ~rare)
                 ids, out = b.column("doc_id"), b.column("held_out")
                 k, no = len(n), pa.nulls
+                number += k
                 add = lambda x, first=first: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, out, pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(add(counted) - n * base_room), pa.array(add(log_p)), no(k, pa.binary()), no(k, pa.int64())], _PARTIAL
+                    [pa.array(np.arange(number - k, number)), ids, out, pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(add(counted) - n * base_room), pa.array(add(log_p)), no(k, pa.binary()), no(k, pa.int64())], _PARTIAL
                 )
                 each = Counter(zip(np.repeat(np.arange(k), n)[rare].tolist(), compress(words, rare.tolist()), strict=True))
                 if each:
                     m = len(each)
-                    at = pa.array([d for d, _ in each], pa.int64())
+                    at = pa.array([number - k + d for d, _ in each], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), no(m, pa.bool_()), no(m, pa.int64()), no(m, pa.int64()), no(m, pa.float64()), no(m, pa.float64()), pa.array([x for _, x in each], pa.binary()), pa.array(list(each.values()), pa.int64())],
+                        [at, no(m, pa.int64()), no(m, pa.bool_()), no(m, pa.int64()), no(m, pa.int64()), no(m, pa.float64()), no(m, pa.float64()), pa.array([x for _, x in each], pa.binary()), pa.array(list(each.values()), pa.int64())],
                         _PARTIAL,
                     )
 
-    partial = materialize(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, times long"), "partial")
-    rare = partial.where("word is not null").select("doc_id", "word", "times")
+    partial = materialize(rows.mapInArrow(tidy(score), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, times long"), "partial")
+    rare = partial.where("word is not null").select("row", "word", "times")
     counted = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ALPHA))
-    late = rare.join(vocabulary, "word", "left").groupBy("doc_id").agg(F.sum(F.col("times") * counted).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    whole = partial.where("word is null").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(late, "doc_id", "left")
+    late = rare.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * counted).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
+    whole = partial.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(late, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return whole.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
@@ -316,4 +330,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-_PARTIAL = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
+_PARTIAL = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
