@@ -250,7 +250,7 @@ def fold(parts: DataFrame, add: Callable[[pa.Table], bytes]) -> bytes:
 
 
 def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [filter_cells(b.column(0).to_numpy()) for b in batches]
+    parts = [filter_cells(b.column(0).to_numpy()).ravel() for b in batches]
     if sum(map(len, parts)):
         cells = np.unique(np.concatenate(parts))
         at = pa.array([TaskContext.get().partitionId()], pa.int32())
@@ -266,7 +266,9 @@ def _united(group: pa.Table) -> bytes:
 
 
 def filter_cells(values: np.ndarray) -> np.ndarray:
-    return (mix(values.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    """The cells of each value, a row for each of three hash functions."""
+    x = values.view(np.uint64)
+    return np.stack([(mix(x ^ salt) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for salt in np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)])
 
 
 def membership_filter(values: DataFrame) -> bytes:
@@ -291,4 +293,4 @@ def only(bits_var, column: str) -> Callable:
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values the filter (its bytes as an array) lets through."""
     cell = filter_cells(values)
-    return (bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
+    return ((bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1).all(0)

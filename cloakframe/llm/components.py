@@ -1,7 +1,7 @@
 """Connected components over links, by local contraction and alternating large and small stars.
 
-Every task first contracts the links of its own partition to stars, which
-leaves few rounds to do across partitions.
+Every task contracts up to about ``TASK_LINKS`` links to stars, which leaves few
+rounds to do across tasks.  Rounds end when all links are stars.
 
 Every round writes its links to the shared folder, so lineage stays short and
 a lost executor costs one round.  A hub's links are never gathered in a task:
@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
+
+#: Links (16 bytes each) that one task contracts, on average.
+TASK_LINKS = 1_000_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,31 +61,30 @@ def _star(links: DataFrame, large: bool, name: str) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``links`` (two long columns).
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link to its centre and no centre has a larger one."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e"))
+    by = ends.groupBy("e.node").agg(F.sum("e.leaf").alias("as_leaf"), F.count("*").alias("n"))
+    return by.where("as_leaf > 0 and n > 1").isEmpty()
+
+
+def star_links(links: DataFrame, task_links: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node but the smallest ones, of ``links`` (two long columns).
 
     Loops, repeated and reversed links are allowed; without links the result is empty.
     """
     a, b = links.columns
-    now = materialize(links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").mapInArrow(_contract, "u long, v long"), "links")
-    mark = None
+    now = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
     while True:
-        now = materialize(_star(_star(now.mapInArrow(_contract, "u long, v long"), True, "large"), False, "small"), "links")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(row):
-            break
-        mark = tuple(row)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def merge_components(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after ``links`` (a, b) have been added: only what the links touch is worked on anew."""
-
-    def of(k: str) -> DataFrame:
-        return known.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
-
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
-    new = materialize(connected_components(between), "merged")
-    moved = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    old = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return old.unionByName(new.join(known.select("node"), "node", "left_anti"))
+        tasks = max(1, -(-now.count() // (task_links or TASK_LINKS)))
+        now = materialize(now.coalesce(tasks).mapInArrow(tidy(_contract), "u long, v long"), "links")
+        # What one task has contracted has no more to do.
+        if tasks == 1 or _are_stars(now):
+            return now.toDF("node", "component")
+        now = materialize(_star(_star(now, True, "large"), False, "small"), "links")
+
+
+def connected_components(links: DataFrame, task_links: int | None = None) -> DataFrame:
+    """(node, component): ``star_links``, with the smallest nodes too."""
+    now = star_links(links, task_links)
+    return now.unionByName(now.select(F.col("component").alias("node"), "component").distinct())
