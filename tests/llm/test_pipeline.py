@@ -52,3 +52,30 @@ def test_run(spark):
 def test_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("1 = 0"), SF).count() == 0, name
+
+
+def test_clashing_columns_repeated_and_null_ids(spark):
+    """Stages decide on rows, whatever their ids and other columns are called."""
+    long = " ".join(f"w{k}" for k in range(70))
+    rows = [(1, "same text here"), (1, "same  text here"), (1, "another one"), (None, "another  one"), (2, long), (2, long + " tail"), (3, "head " + long), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS kept", "true AS all_gone", "'r' AS row", "'c' AS cut", "'t' AS toxic", "0.5 AS p_toxic", "1 AS n", "2 AS n_removed")
+    out = {name: STAGES[name](spark, docs, SF) for name in ("toxicity", "exact_dedup", "ngram_jaccard_join", "substring_dedup")}
+    for name, df in out.items():
+        assert df.columns == docs.columns, name
+    # The longest of equal texts stays, one row of each group.
+    assert sorted(str((r.doc_id, r.text)) for r in out["exact_dedup"].collect()) == sorted(map(str, [(1, "same  text here"), (None, "another  one"), (2, long), (2, long + " tail"), (3, "head " + long), (None, None)]))
+    near = [(r.doc_id, r.text) for r in out["ngram_jaccard_join"].collect()]
+    assert len(near) == 5 and sum("w5" in (t or "") for _, t in near) == 1 and near.count((None, None)) == 1 and near.count((None, "")) == 1
+    cut = [(r.doc_id, r.text) for r in out["substring_dedup"].collect()]
+    # One row keeps the passage; of the others, those that are nothing else go.
+    assert sum("w5" in (t or "").split() for _, t in cut) == 1 and (3, "head") in cut and len(cut) in (8, 9)
+    assert out["toxicity"].count() == len(rows)
+
+
+def test_run_leaves_one_table(spark):
+    """What stages write on their way goes."""
+    from cloakframe.llm.common import written
+
+    before = len(written())
+    corpus_pipeline.run(spark, SF).count()
+    assert len(written(before)) == 1
