@@ -26,7 +26,8 @@ agree in 128 bits, and so do equal windows.
 
 Scale: what is shuffled in step 1 is one entry for several words; step 2 is a
 join that Spark can split on a hot anchor; step 3 moves each text once.  The
-filter that is broadcast has a fixed size.
+filter that is broadcast has a fixed size.  What a step shuffled or wrote is
+deleted as soon as the next has read it; the cuts of step 3 stay.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_view, materialize, membership_filter, mix, partitions, passes, span_hashes, text_bytes, tidy, word_hashes, word_spans
+from .common import blocks, byte_view, discard, materialize, membership_filter, mix, partitions, passes, span_hashes, text_bytes, tidy, word_hashes, word_spans, written
 
 #: Rounds of naming: pairs or runs.
 ROUNDS = ("pairs", "pairs", "runs", "pairs", "pairs", "runs", "pairs", "pairs", "pairs", "runs", "pairs")
@@ -267,19 +268,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_stretches(rows: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, key, pos, n): stretches of words of ``rows`` (doc_id, key, text) covered by windows that a row with a smaller doc_id also has."""
-    spark = rows.sparkSession
+    spark, first = rows.sparkSession, len(written())
     # An entry stands for several words, which take some bytes each: so many buckets hold a bounded number of entries.
     bytes_in = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, partitions(spark), bytes_in // 50 // BUCKET_ENTRIES)
     listed = rows.select("doc_id", "text").mapInArrow(tidy(_list_spans(window, buckets)), "bucket int, entries binary")
-    shared = materialize(listed.groupBy("bucket").applyInArrow(tidy(_shared), "anchor long, cover long, low long, several boolean"), "shared")
+    shared = materialize(listed.groupBy("bucket").applyInArrow(tidy(_shared), "anchor long, cover long, low long, several boolean"), "shared", release=True)
     filter_var = spark.sparkContext.broadcast(membership_filter(shared.select("anchor")))
     found = rows.select("doc_id", "key", "text").mapInArrow(tidy(_rows_of(window, filter_var)), "doc_id long, key long, anchor long, cover long, pos long, n long, prints binary").join(shared, ["anchor", "cover"])
     again = F.col("low") < F.col("doc_id")
-    found = materialize(found.where(again | F.col("several")).select("doc_id", "key", "anchor", "pos", "n", again.alias("again"), F.when(~again, F.col("prints")).alias("prints")), "found")
+    found = materialize(found.where(again | F.col("several")).select("doc_id", "key", "anchor", "pos", "n", again.alias("again"), F.when(~again, F.col("prints")).alias("prints")), "found", release=True)
+    discard(spark, written(first)[:-1])
     whole = found.where("again").select("doc_id", "key", "pos", (F.col("n") + window - 1).alias("n"))
     single = found.where("not again").select("doc_id", "key", "anchor", "pos", "n", "prints").mapInArrow(_windows, "doc_id long, key long, anchor long, pos long, print long")
-    least = materialize(single.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "print", "low"), "windows")
+    least = materialize(single.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "print", "low"), "windows", release=True)
     return whole.unionByName(single.join(least, ["anchor", "print"]).where("low < doc_id").select("doc_id", "key", "pos", F.lit(window).cast("long").alias("n")))
 
 
@@ -293,8 +295,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     no words, one of fewer than ``window`` words loses none.  Other columns
     are ignored; an empty table gives an empty result.
     """
-    rows = _rows(docs, id_col, text_col)
-    cuts = repeated_stretches(rows, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("cuts"))
+    spark, first, rows = docs.sparkSession, len(written()), _rows(docs, id_col, text_col)
+    cuts = materialize(repeated_stretches(rows, window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("cuts")), "cuts", release=True)
+    discard(spark, written(first)[:-1])
     joined = rows.join(cuts, ["doc_id", "key"], "left").select("id", "text", F.col("cuts.pos").alias("at"), F.col("cuts.n").alias("n"))
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(tidy(_keep_words), f"id {kind}, kept string, n_words long, n_removed long").withColumnRenamed("id", id_col)

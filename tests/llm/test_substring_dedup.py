@@ -1,6 +1,9 @@
+import os
+import time
+
 import numpy as np
 
-from cloakframe.llm.common import mix
+from cloakframe.llm.common import materialize, mix, written
 from cloakframe.llm.substring_dedup import remove_repeats, spans
 
 
@@ -54,3 +57,25 @@ def test_null_and_repeated_ids(make_docs):
     rows = [(1, a), (2, "x " + a + " " + b), (2, b), (2, a + " y"), (2, a + " y"), (None, b + " z"), (None, a), (None, a), (None, "own " * 55), (None, None)]
     out = sorted((str(r[0]), r[2], r[3]) for r in remove_repeats(make_docs(rows)).collect())
     assert out == sorted([("1", 60, 0), ("2", 121, 60), ("2", 60, 0), ("2", 61, 60), ("2", 61, 60), ("None", 61, 60), ("None", 60, 60), ("None", 60, 60), ("None", 55, 0), ("None", 0, 0)])
+
+
+def shuffled(spark):
+    """The shuffles of which files lie on the disk of this session's one executor."""
+    tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name.split("_")[1] for top in tops for _, _, names in os.walk(top.getPath()) for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_released_shuffles_and_read_tables_go(make_docs, corpus, spark):
+    """A write deletes what it shuffled; of the tables of all steps, only the one that the result is read from stays."""
+    before = shuffled(spark)
+    counts = materialize(make_docs(corpus).groupBy("doc_id").count(), "counts", release=True)
+    until = time.time() + 10
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
+    assert counts.count() == len(corpus)
+    first = len(written())
+    out = remove_repeats(make_docs(corpus), 7)
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in written(first)] == ["cuts"]
+    for _ in range(2):
+        assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute(corpus, 7)
