@@ -356,3 +356,10 @@ def test_membership_of_many_rows(spark):
     shifted = many.withColumn("p", F.col("p") + F.when(F.col("id") % 2 == 0, 0.25).otherwise(0.5))
     out = attacks.membership_inference(attacks.dcr(shifted, many, "id", ["p", "q"], scale=False))
     assert quick(lambda: {tuple(r) for r in out.groupBy("dcr", "member", (F.col("id") % 2).alias("odd")).count().collect()}) == {(0.25, True, 0, 200_000), (0.5, False, 1, 200_000)}
+
+
+def test_ratios_of_many_rows(spark):
+    many = repeated(spark, 400_000)
+    shifted = many.withColumn("p", F.col("p") + 0.25)
+    out = attacks.nndr(shifted, many.dropDuplicates(["p", "q"]), "id", ["p", "q"])
+    assert quick(lambda: sorted(rows(out.groupBy("nndr").count()))) == [(0.242536, 4123), (0.333333, 395_877)]
