@@ -363,3 +363,10 @@ def test_ratios_of_many_rows(spark):
     shifted = many.withColumn("p", F.col("p") + 0.25)
     out = attacks.nndr(shifted, many.dropDuplicates(["p", "q"]), "id", ["p", "q"])
     assert quick(lambda: sorted(rows(out.groupBy("nndr").count()))) == [(0.242536, 4123), (0.333333, 395_877)]
+
+
+def test_closest_of_many_rows(spark):
+    many = repeated(spark, 400_000)
+    shifted = many.withColumn("q", F.col("q") + 0.25)
+    out = attacks.dcr(shifted, many, "id", ["p", "q"], scale=False)
+    assert quick(lambda: rows(out.groupBy("dcr").count())) == [(0.25, 400_000)]
