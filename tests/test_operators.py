@@ -370,3 +370,9 @@ def test_closest_of_many_rows(spark):
     shifted = many.withColumn("q", F.col("q") + 0.25)
     out = attacks.dcr(shifted, many, "id", ["p", "q"], scale=False)
     assert quick(lambda: rows(out.groupBy("dcr").count())) == [(0.25, 400_000)]
+
+
+def test_closest_mixed_of_many_rows(spark):
+    many = repeated(spark, 400_000).select("id", F.concat(F.lit("k"), F.lpad(F.col("p").cast("int").cast("string"), 2, "0")).alias("p"), (F.col("id") % 2 == 0).alias("b"), "q")
+    a, b = attacks.encode_features(many.withColumn("q", F.col("q") + 0.25), many, ["p", "b", "q"])
+    assert quick(lambda: rows(attacks.dcr(a, b, "id", ["p", "b", "q"], scale=False).groupBy("dcr").count())) == [(0.25, 400_000)]
